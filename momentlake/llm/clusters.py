@@ -41,26 +41,27 @@ def _top(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     return np.where(sims <= -2, -1, ids), sims
 
 
-def neighbour_descent(x: np.ndarray, k: int, *, leaf: int = 48, tries: int = 32, rounds: int = 6, stop: float = 0.002, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def neighbour_descent(x: np.ndarray, k: int, *, trees: int = 6, leaf: int = 192, tries: int = 32, rounds: int = 4, stop: float = 0.01, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Approximate k nearest neighbours (by dot product) of every row of ``x``: ids (-1 where there are fewer) and similarities."""
     n, rng = len(x), np.random.default_rng(seed)
     ids, sims = np.full((n, k), -1, np.int64), np.full((n, k), -2, np.float32)
-    todo = [np.arange(n)]
-    while todo:
-        part = todo.pop()
-        if len(part) > leaf:
-            a, b = rng.choice(part, 2, replace=False)
-            side = x[part] @ (x[a] - x[b])
-            cut = len(part) // 2
-            order = np.argpartition(side, cut)
-            todo += [part[order[:cut]], part[order[cut:]]]
-            continue
-        s = x[part] @ x[part].T
-        np.fill_diagonal(s, -2)
-        m = min(k, len(part) - 1)
-        if m > 0:
-            best = np.argpartition(-s, m - 1, axis=1)[:, :m]
-            ids[part, :m], sims[part, :m] = part[best], np.take_along_axis(s, best, 1)
+    for tree in range(trees if n > leaf else 1):
+        tree_ids, tree_sims = np.full((n, k), -1, np.int64), np.full((n, k), -2, np.float32)
+        todo = [np.arange(n)]
+        while todo:
+            part = todo.pop()
+            if len(part) > leaf:
+                cut = len(part) // 2
+                order = np.argpartition(x[part] @ rng.standard_normal(x.shape[1]).astype(np.float32), cut)
+                todo += [part[order[:cut]], part[order[cut:]]]
+                continue
+            s = x[part] @ x[part].T
+            np.fill_diagonal(s, -2)
+            m = min(k, len(part) - 1)
+            if m > 0:
+                best = np.argpartition(-s, m - 1, axis=1)[:, :m]
+                tree_ids[part, :m], tree_sims[part, :m] = part[best], np.take_along_axis(s, best, 1)
+        ids, sims = _top(np.concatenate([ids, tree_ids], 1), np.concatenate([sims, tree_sims], 1), k) if tree else (tree_ids, tree_sims)
     if n <= leaf:
         return ids, sims
     for _ in range(rounds):
