@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
+from momentlake.functions.numbers import exact_round
+
 #: Fixed value: what the tokenizer splits a cleaned text into.
 PIECES = r"(?i)<start_of_text>|<end_of_text>|'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
@@ -89,7 +91,7 @@ def timecode(seconds: Column, clamp: bool = False) -> Column:
     """Minutes and seconds as ``mm:ss.s`` (rounded after splitting, so 59.96 gives 00:60.0)."""
     s = F.greatest(seconds, F.lit(0.0)) if clamp else seconds
     minutes = F.floor(s / 60)
-    return F.concat(F.lpad(minutes.cast("string"), 2, "0"), F.lit(":"), F.format_string("%04.1f", s - minutes * 60))
+    return F.concat(F.lpad(minutes.cast("string"), 2, "0"), F.lit(":"), F.format_string("%04.1f", exact_round(s - minutes * 60, 1)))
 
 
 def slug(c: Column) -> Column:
@@ -99,7 +101,7 @@ def slug(c: Column) -> Column:
 
 def report_number(c: Column) -> Column:
     """``-`` for null, two decimals from 1 up and for 0, else three."""
-    return F.when(c.isNull(), "-").when((F.abs(c) >= 1) | (c == 0), F.format_string("%.2f", c)).otherwise(F.format_string("%.3f", c))
+    return F.when(c.isNull(), "-").when((F.abs(c) >= 1) | (c == 0), F.format_string("%.2f", exact_round(c, 2))).otherwise(F.format_string("%.3f", exact_round(c, 3)))
 
 
 def precision_label(file_name: Column) -> Column:

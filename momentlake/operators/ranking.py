@@ -7,6 +7,7 @@ from bisect import bisect_left, insort
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from momentlake.functions.numbers import exact_round
 from momentlake.operators.ordered import ordered_pass
 
 
@@ -35,7 +36,7 @@ def best_per_timestamp(scored: DataFrame) -> DataFrame:
 
     Null scores take no part. A partial aggregate; a hot video is reduced before the shuffle.
     """
-    key = F.round("t", 3).alias("t")
+    key = exact_round(F.col("t"), 3).alias("t")
     best = F.max_by(F.struct("item_id", "score"), F.struct(F.col("score"), -F.col("item_id"))).alias("b")
     return scored.where("score is not null and video_id is not null").groupBy("video_id", key).agg(best).select("video_id", "t", "b.item_id", "b.score")
 

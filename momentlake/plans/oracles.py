@@ -154,7 +154,7 @@ SQL = {
     "p_yes_logprobs": """SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 3 = 0 THEN round(exp(round(-value / 100, 4)) / (exp(round(-value / 100, 4)) + exp(-1.5)), 6) ELSE 1.0 END AS p_yes FROM events""",
     "timecode_format": f"SELECT DISTINCT t, {_code('t')} AS code, greatest(0.0, t - 1) AS start FROM items WHERE t IS NOT NULL",
     "slugs": "SELECT DISTINCT name, regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug, CASE WHEN contains(name, 'w8a16') THEN 'w8a16' WHEN contains(name, 'w8a8') OR contains(name, 'int8') THEN 'int8' ELSE 'FP32' END AS precision FROM videos",
-    "report_numbers": "SELECT event_id, CASE WHEN event_id % 9 = 0 THEN '-' WHEN abs(value / 100) >= 1 OR value = 0 THEN printf('%.2f', round(value / 100, 2)) ELSE printf('%.3f', round(value / 100, 3)) END AS shown FROM events",
+    "report_numbers": "SELECT event_id, CASE WHEN event_id % 9 = 0 THEN '-' WHEN abs(value / 100) >= 1 OR value = 0 THEN printf('%.2f', value / 100) ELSE printf('%.3f', value / 100) END AS shown FROM events",
     "content_ids": "SELECT doc_id, CASE WHEN source IS NOT NULL THEN sha1(source || octet_length(encode(text))::VARCHAR || text)[1:12] END AS video_id FROM documents WHERE text IS NOT NULL",
     "hit_captions": f"""SELECT id, nullif(lower(trim(video_id)), '') || ' @ ' || {_code('greatest(0.0, t)')} || ' · ' || printf('%.3f', conf) || ' · ' || coalesce(label, kind) AS caption
         FROM (SELECT DISTINCT id, video_id, t, kind, label, conf FROM items WHERE t IS NOT NULL AND conf IS NOT NULL)""",
