@@ -136,7 +136,7 @@ def _cell_pairs(table: pa.Table, dim: int, k: int, min_cosine: float, confidence
     return pa.table({"id": pa.array(out_id, pa.int64()), "other": pa.array(out_other, pa.int64()), "cosine": pa.array(out_cos, pa.float64())})
 
 
-def neighbours(df: DataFrame, id_col: str, vec_col: str, *, dim: int, k: int, min_cosine: float = -1.0, probes: int = 2, margin: float = 0.06, rows_per_cell: int = 1000, confidence: float = 3.0) -> DataFrame:
+def neighbours(df: DataFrame, id_col: str, vec_col: str, *, dim: int, k: int, min_cosine: float = -1.0, probes: int = 3, margin: float = 0.06, rows_per_cell: int = 1000, confidence: float = 3.0) -> DataFrame:
     """``(id, other, cosine)``: for every usable row of ``df`` its ``k`` most similar other rows with cosine >= ``min_cosine``.
 
     ``probes`` and ``margin`` steer how many cells a vector visits beside its own (``probes=rows`` and a margin of 2 make

@@ -82,16 +82,16 @@ def rotation(dim: int, columns: int | None = None, seed: int = 7) -> np.ndarray:
 
 
 class Cells:
-    """Coarse cells: the mean of the data, unit centroids of the centred directions, and blocks per cell."""
+    """Coarse cells: the mean of the data, unit centroids of the centred directions, blocks and handicap per cell."""
 
-    def __init__(self, mean: np.ndarray, centroids: np.ndarray, blocks: np.ndarray):
-        self.mean, self.centroids, self.blocks = mean, centroids, blocks
+    def __init__(self, mean: np.ndarray, centroids: np.ndarray, blocks: np.ndarray, handicap: np.ndarray):
+        self.mean, self.centroids, self.blocks, self.handicap = mean, centroids, blocks, handicap
 
     def probe(self, u: np.ndarray, probes: int, margin: float) -> tuple[np.ndarray, np.ndarray]:
         """For unit rows: the ``probes`` best cells, best first, and which of them lie within ``margin`` of the best."""
         c = u - self.mean
         c /= np.maximum(np.linalg.norm(c, axis=1), 1e-12)[:, None]
-        s = c @ self.centroids.T
+        s = c @ self.centroids.T - self.handicap
         r = min(probes, s.shape[1])
         top = np.argpartition(-s, r - 1, axis=1)[:, :r]
         v = np.take_along_axis(s, top, 1)
@@ -114,12 +114,28 @@ def _lloyd(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     return c
 
 
-def fit_cells(df: DataFrame, id_col: str, vec_col: str, dim: int, rows: int, *, rows_per_cell: int = 1000, max_cells: int = 4096, sample_per_cell: int = 16, block_rows: int = 16384, rounds: int = 3) -> Cells | None:
+def _handicap(s: np.ndarray, most: float, rounds: int = 40, step: float = 0.02) -> np.ndarray:
+    """What to take off each centroid's similarities so that no cell holds more than a share ``most`` of the sample, as far as possible.
+
+    Vectors without close relatives gather at the centroids nearest the mean; they are spread over their next best cells.
+    """
+    k = s.shape[1]
+    off = np.zeros(k, np.float32)
+    for _ in range(rounds):
+        share = np.bincount((s - off).argmax(1), minlength=k) / len(s)
+        over = share > most
+        if not over.any():
+            break
+        off[over] += step * np.log2(share[over] / most) + 0.002
+    return off
+
+
+def fit_cells(df: DataFrame, id_col: str, vec_col: str, dim: int, rows: int, *, rows_per_cell: int = 1000, max_cells: int = 4096, sample_per_cell: int = 16, block_rows: int = 16384, rounds: int = 3, evenness: float = 1.5) -> Cells | None:
     """Fit the coarse cells on a bounded sample; None if no row is usable.
 
     The sample is chosen by a hash of the id and holds about ``sample_per_cell`` rows per cell, so at most
     ``sample_per_cell * max_cells`` (65,536) rows, fitted inside one task; only the centroids reach the driver.
-    Every row is indexed afterwards. A cell that by its share of the sample exceeds ``block_rows`` rows is
+    Every row is indexed afterwards. Cells above ``evenness`` times the mean size are handicapped. A cell that by its share of the sample exceeds ``block_rows`` rows is
     split into several blocks.
     """
     cells = int(min(max(rows // rows_per_cell, 8), max_cells))
@@ -140,14 +156,16 @@ def fit_cells(df: DataFrame, id_col: str, vec_col: str, dim: int, rows: int, *,
             x /= np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
             k = min(cells, max(1, len(x) // 2))
             c = _lloyd(x, k, rounds, 5)
-            share = np.bincount(np.concatenate([(x[i : i + 4096] @ c.T).argmax(1) for i in range(0, len(x), 4096)]), minlength=k) / len(x)
+            s = x @ c.T if len(x) * k <= 1 << 26 else x[:: -(-len(x) * k // (1 << 26))] @ c.T  # at most 256 MB
+            off = _handicap(s, evenness / k)
+            share = np.bincount((s - off).argmax(1), minlength=k) / len(s)
             blocks = np.maximum(1, np.ceil(share * rows / block_rows)).astype(np.int64)
-            yield pa.RecordBatch.from_pydict({"mean": [mean.tobytes()], "c": [c.tobytes()], "blocks": [blocks.tobytes()]})
+            yield pa.RecordBatch.from_pydict({"mean": [mean.tobytes()], "c": [c.tobytes()], "blocks": [blocks.tobytes()], "off": [off.tobytes()]})
 
-    got = picked.mapInArrow(fit, "mean binary, c binary, blocks binary").collect()
+    got = picked.mapInArrow(fit, "mean binary, c binary, blocks binary, off binary").collect()
     if not got:
         return None
-    return Cells(np.frombuffer(got[0].mean, np.float32), np.frombuffer(got[0].c, np.float32).reshape(-1, dim), np.frombuffer(got[0].blocks, np.int64))
+    return Cells(np.frombuffer(got[0].mean, np.float32), np.frombuffer(got[0].c, np.float32).reshape(-1, dim), np.frombuffer(got[0].blocks, np.int64), np.frombuffer(got[0].off, np.float32))
 
 
 def to_cells(df: DataFrame, id_col: str, vec_col: str, dim: int, cells: Cells, *, probes: int, margin: float) -> DataFrame:
