@@ -2,7 +2,7 @@
 
 Records are split into passages; a passage's features are its words, word pairs and placeholder styles, hashed to a
 table of fixed size. Trusted records, found by strict patterns (two or more styles of unmistakable placeholders, or
-nothing but stock error phrases), give the positive passages; all others are unlabelled. The first model takes the
+mostly stock error phrases, or a few words over and over), give the positive passages; all others are unlabelled. The first model takes the
 unlabelled ones as negative; then posteriors and model are computed in turn over all passages of all records.
 Passages are scored with the last model and records decided: one passage whose placeholder the model
 takes for residue is enough; otherwise all content passages (all but heading, menu and trailer) must be residue.
@@ -59,7 +59,13 @@ LOOSE_STYLES = {
 # Beginnings of stock messages and fillers, in the languages of the corpus.
 STOCK = re.compile(
     r"(?i)^(?:(?:error |http )?(?:40[0134]|410|429|50[0234])\b[ :-]*(?:$|not found|forbidden|unauthorized|bad|gone|too many|internal server|service unavailable|gateway)|http [45]\d\d"
-    r"|page not found|not found|access denied|permission denied|forbidden|bad gateway|internal (?:server )?(?:error|failure)|service unavailable|connection (?:reset|refused|timed out)|too many requests|oops"
+    r"|page not found|not found|access denied|permission denied|forbidden|unauthorized|gateway time-?out|service unavailable|gone\b|bad gateway|internal (?:server )?(?:error|failure)|service unavailable|connection (?:reset|refused|timed out)|too many requests|oops"
+    r"|\W*error\W+code\W+\d{3}|\w+(?:\.\w+)+(?:exception|error)\b|database is locked|cookies and (?:java)?scripts (?:are|must)|unable to (?:load|show|open|display|see)\b.*(?:missing|blocked|disabled)"
+    r"|(?:the|this|your) \w+(?: \w+){0,3} (?:is (?:temporarily )?(?:unavailable|offline|blocked|locked)|has expired|does not exist any ?more|could not be (?:loaded|reached|found)|ran into an unexpected error)[.!]?$"
+    r"|(?:enable|allow|activate|turn on|switch on) (?:javascript|cookies|scripts|client-side code|active content)|für diese (?:ansicht|seite) m(?:ü|ue)ssen|die seite konnte nicht"
+    r"|too many (?:searches|requests|attempts)|traceback \(most recent call last\)|file \W[^\"']+\W, line \d+|\w+error\b:? ?\W?\w*\W*$|select \w+.* from \w+|scripting (?:is )?disabled"
+    r"|(?:describe|enter|insert|write|type) (?:the|your|a) .{3,60}(?:here|sentences|words)|replace this (?:text|paragraph|line)|delete this (?:hint|line|text)|escriba aquí|geben sie hier|beschreiben sie (?:hier|den)|यहाँ .* लिखें"
+    r"|your browser (?:does not|doesn't) support|we looked everywhere|est[ea] (?:visor|sitio|página|aplicación) (?:necesita|requiere)|.*जावास्क्रिप्ट चालू"
     r"|something went wrong|your session has (?:ended|expired)|are you a human|please (?:enable|turn on|activate) (?:javascript|cookies|scripts)|this (?:page|site|viewer|app) (?:needs|requires) (?:javascript|scripts|cookies)|javascript is|you need to (?:enable|allow)"
     r"|lorem ipsum|text goes here|your (?:text|description) (?:goes )?here|placeholder text|caption to follow|item 1 text"
     r"|seite nicht gefunden|zugriff verweigert|bitte aktivieren sie (?:javascript|cookies)|der dienst ist|blindtext|platzhalter"
@@ -67,10 +73,10 @@ STOCK = re.compile(
     r"|पृष्ठ नहीं मिला|सेवा अभी उपलब्ध नहीं|पहुँच अस्वीकृत|कृपया (?:javascript|जावास्क्रिप्ट))"
 )
 _STYLES = [(name, True, re.compile(p)) for name, p in STRICT_STYLES.items()] + [(name, False, re.compile(p)) for name, p in LOOSE_STYLES.items()]
-_RULE = re.compile(r"([-_.…=*~·])\1{9,}")
+_RULE = re.compile(r"([^\s\d])\1{9,}")
 _SPLIT = re.compile(r"\n+|(?<=[.!?।])[\"”'’)]*\s+|\s+[|]\s+|(?<=\w)\s+-\s+(?=[\w<\[{%$#@])|(?<=\w):\s+(?=\S)")
 _ENDS = re.compile(r"[.!?।][\"”'’)]*$")
-_TOKEN = re.compile(r"⟦\w+⟧|[^\W\d_]+|\d+|[\"“”„«»{}<>\[\]]")
+_TOKEN = re.compile(r"⟦\w+⟧|[^\W\d_]+|\d+|[\"“”„«»]")
 CONTENT, HEADING, SHORT = 0, 1, 2
 
 
@@ -94,11 +100,12 @@ def passages(text: str) -> list[tuple[str, list[str], int]]:
     for i, (p, gap) in enumerate(parts):
         styles = re.findall(r"⟦([a-z]\w*)⟧", p)
         bare = not _ENDS.search(p)
-        leading = leading and bare and i < min(2, len(parts) - 1) and ("\n" in gap or "|" in gap or gap.strip() in ("-", ":"))
-        out.append((p, styles, HEADING if leading else SHORT if len(re.findall(r"[^\W\d_]+", p)) < 4 else CONTENT))
+        leading = leading and bare and not STOCK.match(p) and i < min(2, len(parts) - 1) and ("\n" in gap or "|" in gap or gap.strip() in ("-", ":"))
+        out.append((p, styles, HEADING if leading else SHORT if len(re.findall(r"[^\W\d_]+", p)) < 4 and not STOCK.match(p) else CONTENT))
     if all(role != CONTENT for *_, role in out):  # nothing longer: the short ones are the content, or else the heading
         kind = SHORT if any(role == SHORT for *_, role in out) else HEADING
-        out = [(p, s, CONTENT if role == kind else role) for p, s, role in out]
+        wordy = [role == kind and not re.search(r"\d", p) for p, _, role in out]
+        out = [(p, s, CONTENT if w or (role == kind and not any(wordy)) else role) for (p, s, role), w in zip(out, wordy)]
     return out
 
 
@@ -120,7 +127,8 @@ def _featured(batches):
             content = [p for p, _, role in found if role == CONTENT]
             spoken = re.findall(r"[^\W\d_]+", " ".join(content).casefold())
             droning = len(set(spoken)) <= 8 and len(spoken) >= max(6, 4 * len(set(spoken)))  # a few words over and over
-            stock = droning or (all(STOCK.match(p) or p == "⟦_rule⟧" for p in content) and not re.search(r"[\"“„«]", text))
+            known = [bool(STOCK.match(p)) or p == "⟦_rule⟧" for p in content]
+            stock = droning or all(known) or (known[0] and len(known) <= 4 and 2 * sum(known) >= len(known))
             rows = [features(p, s) for p, s, _ in found]
             out["doc_id"].append(doc)
             out["features"].append([f for r in rows for f in r])
@@ -145,8 +153,8 @@ def _flat(b: pa.RecordBatch):
 def _weights(counts: pa.Table, strength: float) -> tuple[np.ndarray, np.ndarray]:
     """Log-odds, per feature and prior, of slot against explained and of message against note, from the summed weights (bucket -1: the passages themselves).
 
-    Slots stand in the wording of notes, so both classes with placeholders are smoothed towards the notes. A passage's
-    own vote is no evidence that its wording explains a placeholder, so one vote is taken off there.
+    Slots stand in the wording of notes, so the classes with placeholders, and also the few messages, are smoothed towards the notes. A passage's
+    own vote is no evidence that its wording explains a placeholder or is a message, so one vote is taken off there.
     """
     bucket = counts.column("bucket").to_numpy()
     real = bucket >= 0
@@ -156,15 +164,9 @@ def _weights(counts: pa.Table, strength: float) -> tuple[np.ndarray, np.ndarray]
         sums[i, bucket[real]] = w[real]
         sizes[i] = max(float(w[~real].sum()), 1e-3)
     slot, explained, message, note = sums
-    usual = (note + 0.5) / (sizes[3] + 1)
-    among = lambda c, n: np.log((c + strength * n * usual) / (n * (1 + strength)))
-    share = sizes[2:] / sizes[2:].sum()  # so that a feature never seen tells nothing
-    odds = np.stack(
-        [
-            among(slot, sizes[0]) - among(np.maximum(explained - 1, 0), sizes[1]),
-            np.log((message + share[0]) / sizes[2]) - np.log((note + share[1]) / sizes[3]),
-        ]
-    )
+    usual = (note + 0.5) / (sizes[3] + 1)  # a feature never seen tells nothing
+    among = lambda c, n, s=strength: np.log((c + s * n * usual) / (n * (1 + s)))
+    odds = np.stack([among(slot, sizes[0]) - among(np.maximum(explained - 1, 0), sizes[1]), among(np.maximum(message - 1, 0), sizes[2], strength / 3) - np.log(usual)])
     return odds.astype(np.float32), np.log(np.array([sizes[0] / sizes[1], sizes[2] / sizes[3]]))
 
 
@@ -176,7 +178,7 @@ def _odds(b: pa.RecordBatch, model) -> tuple[np.ndarray, ...]:
     return np.where(ph > 0, slot, message), f, owner, role, ph, trusted, record
 
 
-def residue_documents(df: DataFrame, id_col: str, text_col: str, *, rounds: int = 4, strength: float = 1.0) -> DataFrame:
+def residue_documents(df: DataFrame, id_col: str, text_col: str, *, rounds: int = 4, strength: float = 2.0) -> DataFrame:
     """``(doc_id, n_passages, n_residue, placeholder)`` of the records that hold template residue or nothing but error or filler text."""
     spark = df.sparkSession
     shared_folder(spark)
