@@ -12,16 +12,14 @@ from momentlake import schema
 
 def write_audit(records: DataFrame, path: str) -> None:
     """Append records; the entries of ``extra`` become keys of their own and win over the standard ones."""
-    plain = [c for c in records.columns if c != "extra"]
-    if "extra" in records.columns:
-        # both as maps of JSON values: the extra keys override
-        own = F.from_json(F.to_json(F.struct(*plain)), "map<string,string>")
-        body = F.map_concat(F.map_filter(own, lambda k, _: ~F.array_contains(F.map_keys(F.coalesce("extra", F.expr("map()").cast("map<string,string>"))), k)), F.coalesce("extra", F.expr("map()").cast("map<string,string>")))
-        simple = F.to_json(F.struct(*plain))
-        line = F.when(F.size(F.coalesce("extra", F.expr("map()").cast("map<string,string>"))) > 0, F.to_json(body)).otherwise(simple)
-        records.select(line.alias("value")).write.mode("append").text(path)
-    else:
+    if "extra" not in records.columns:
         records.write.mode("append").json(path)
+        return
+    extra = F.coalesce("extra", F.expr("map()").cast("map<string,string>"))
+    inner = lambda c: F.regexp_replace(F.to_json(c), r"^\{|\}$", "")
+    own = [F.when(~F.array_contains(F.map_keys(extra), F.lit(c)), inner(F.struct(c))) for c in records.columns if c != "extra"]
+    filled = F.filter(F.array(*own, inner(extra)), lambda x: x.isNotNull() & (x != ""))
+    records.select(F.concat(F.lit("{"), F.array_join(filled, ","), F.lit("}")).alias("value")).write.mode("append").text(path)
 
 
 def read_audit(spark: SparkSession, path: str, last: int | None = None) -> DataFrame:
