@@ -89,6 +89,9 @@ class Cells:
 
     def probe(self, u: np.ndarray, probes: int, margin: float) -> tuple[np.ndarray, np.ndarray]:
         """For unit rows: the ``probes`` best cells, best first, and which of them lie within ``margin`` of the best."""
+        if len(u) > 2048:  # bounds the similarities held at once
+            parts = [self.probe(u[i : i + 2048], probes, margin) for i in range(0, len(u), 2048)]
+            return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         c = u - self.mean
         c /= np.maximum(np.linalg.norm(c, axis=1), 1e-12)[:, None]
         s = c @ self.centroids.T - self.handicap
