@@ -18,6 +18,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from momentlake.session import shared_folder
+
 HOT_KEYS = 1000
 HOT_ROWS = 200_000
 
@@ -40,7 +42,8 @@ def orphan_references(children: dict[str, DataFrame], parents: DataFrame) -> Dat
     """
     rows = reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("table_name"), F.col("row_id").cast("long").alias("row_id"), "key", "ingested_at") for name, df in children.items()]).where("key is not null")
     total = sum(df.count() for df in children.values())
-    keys = rows.groupBy("key").agg(F.count("*").alias("n"))
+    shared_folder(rows.sparkSession)
+    keys = rows.groupBy("key").agg(F.count("*").alias("n")).checkpoint()  # used three times
     known = parents.where("key is not null").select("key").distinct()
     missing = keys.join(known, "key", "left_anti").select("key", "n", F.lit(None).cast("array<struct<s:double,e:double>>").alias("spans"))
     existing = keys.join(known, "key", "left_semi").join(periods(parents), "key", "left").select("key", "n", "spans")
