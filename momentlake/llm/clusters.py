@@ -207,7 +207,7 @@ def _cell_members(table: pa.Table, dim: int, k: int, min_cosine: float, slack: f
     return pa.table({"id": pa.array(out["id"], pa.int64()), "part": pa.array(out["part"], pa.string()), "community": pa.array(out["community"], pa.string()), "degree": pa.array(out["degree"], pa.float64()), "home": pa.array(out["home"], pa.bool_())})
 
 
-def similarity_clusters(df: DataFrame, id_col: str, vec_col: str, *, dim: int, min_cosine: float, min_size: int = 4, k: int = 10, probes: int = 3, margin: float = 0.1, rows_per_cell: int = 1000, typical: int = 6) -> DataFrame:
+def similarity_clusters(df: DataFrame, id_col: str, vec_col: str, *, dim: int, min_cosine: float, min_size: int = 4, k: int = 10, probes: int = 4, margin: float = 0.15, rows_per_cell: int = 1000, typical: int = 6) -> DataFrame:
     """``(cluster_id, item_id, community, degree)``: the members of every cluster of at least ``min_size`` rows.
 
     ``community`` is the modularity community inside the cluster, ``degree`` the summed cosine of the row's graph

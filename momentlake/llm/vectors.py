@@ -1,6 +1,6 @@
 """Vector plumbing shared by the neighbour and cluster operators: reading usable vectors, packing, coarse cells.
 
-Rows travel packed (two bytes per element where that is exact) and exact copies of one vector inside
+Rows travel packed (whole numbers of few bits where that is exact) and exact copies of one vector inside
 an Arrow batch travel once with the list of their ids, so a vector that a third of all rows repeat costs
 one row per batch.  Vectors that differ by a positive whole factor point the same way and count as copies.
 """
@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Vectors whose elements are whole multiples of 1/GRID and fit two bytes are packed as integers.
+#: Vectors whose elements are whole multiples of 1/GRID and fit two bytes (times GRID) are packed as integers.
 GRID = 1024
 CELL_SCHEMA = "cell long, home boolean, ids array<long>, vec binary"
 
@@ -39,24 +39,43 @@ def matrix_of(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pack(m: np.ndarray) -> list[bytes]:
-    """One canonical byte string per row: integers divided by their greatest common divisor if exact on the grid, else float32."""
-    scaled = m.astype(np.float64) * GRID
-    whole = (scaled == np.rint(scaled)).all(1) & (np.abs(scaled).max(1, initial=0) < 32767)
-    ints = np.where(whole[:, None], scaled, 0).astype(np.int64)
-    divisor = np.maximum(np.gcd.reduce(ints, axis=1), 1) if len(ints) else np.ones(0, np.int64)
-    small = (ints // divisor[:, None]).astype("<i2")
-    return [small[i].tobytes() if whole[i] else m[i].astype("<f4").tobytes() for i in range(len(m))]
+    """One canonical byte string per row: if exact on the grid, integers divided by their greatest common divisor, each in as many bits as the row's largest needs; else float32."""
+    out: list[bytes] = [b""] * len(m)
+    for at in range(0, len(m), 1024):
+        scaled = m[at : at + 1024].astype(np.float64) * GRID
+        whole = (scaled == np.rint(scaled)).all(1) & (np.abs(scaled).max(1, initial=0) < 32767)
+        whole &= m.shape[1] >= 8  # a row's size must tell its bits
+        ints = np.where(whole[:, None], scaled, 1).astype(np.int64)
+        ints //= np.maximum(np.gcd.reduce(ints, axis=1), 1)[:, None]
+        width = np.floor(np.log2(np.abs(ints).max(1, initial=1))).astype(int) + 2
+        for w in np.unique(width[whole]):
+            rows = np.nonzero(whole & (width == w))[0]
+            shifted = (ints[rows] + (1 << (w - 1))).astype(">u2")
+            bits = np.unpackbits(shifted.view(np.uint8).reshape(len(rows), -1, 2), axis=2)[:, :, 16 - w :]
+            packed = np.packbits(bits.reshape(len(rows), -1), axis=1)
+            for i, r in zip(rows, packed):
+                out[at + i] = r.tobytes()
+        for i in np.nonzero(~whole)[0]:
+            out[at + i] = m[at + i].astype("<f4").tobytes()
+    return out
 
 
 def unpack(rows: list[bytes], dim: int) -> np.ndarray:
-    """The rows as float32 (directions; the length is not kept for integer rows)."""
+    """The rows as float32 (directions; the length is not kept for integer rows). A row's size tells the bits of an element."""
     out = np.empty((len(rows), dim), np.float32)
-    lengths = np.fromiter((len(r) for r in rows), np.int64, len(rows))
-    short = np.nonzero(lengths == 2 * dim)[0]
-    if len(short):
-        out[short] = np.frombuffer(b"".join(rows[i] for i in short), "<i2").reshape(-1, dim)
-    for i in np.nonzero(lengths != 2 * dim)[0]:
-        out[i] = np.frombuffer(rows[i], "<f4")
+    sizes = np.fromiter((len(r) for r in rows), np.int64, len(rows))
+    for size in np.unique(sizes):
+        chosen = np.nonzero(sizes == size)[0]
+        w = int(size) * 8 // dim
+        for i in range(0, len(chosen), 1024):
+            part = chosen[i : i + 1024]
+            raw = np.frombuffer(b"".join(rows[j] for j in part), np.uint8).reshape(len(part), -1)
+            if size == 4 * dim:
+                out[part] = raw.view("<f4")
+                continue
+            bits = np.zeros((len(part), dim, 16), np.uint8)
+            bits[:, :, 16 - w :] = np.unpackbits(raw, axis=1)[:, : dim * w].reshape(len(part), dim, w)
+            out[part] = np.packbits(bits, axis=2).reshape(len(part), -1).view(">u2").astype(np.float32) - (1 << (w - 1))
     return out
 
 
