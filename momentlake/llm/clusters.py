@@ -4,7 +4,7 @@
 2. In each cell neighbour descent builds a k-nearest-neighbour graph: random-projection leaves give the first
    neighbours, then neighbours of neighbours (both directions) are tried until few lists change. The descent
    compares a rotated leading block of the vectors; edges count only after a check in double precision.
-3. Local moving by modularity gain, twice (vectors, then communities), finds communities in the cell's graph.
+3. Local moving by modularity gain, of vectors and then of communities, finds communities in the cell's graph.
    A vector's internal degree is the weight of its edges into its own community.
 4. An exact check follows: every vector of the cell is compared with the members of highest degree of each
    community; linked ones (cosine >= ``min_cosine``) join.
@@ -105,8 +105,8 @@ def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def communities(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, rounds: int = 12, levels: int = 2) -> np.ndarray:
-    """Communities of a weighted undirected graph (each edge once, a != b) by modularity: local moving, then again on the communities."""
+def communities(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, rounds: int = 12, levels: int = 5) -> np.ndarray:
+    """Communities of a weighted undirected graph (each edge once, a != b) by modularity: local moving, then again on the communities, until nothing moves."""
     node = np.arange(n)
     loops = np.zeros(n)
     for _ in range(levels):

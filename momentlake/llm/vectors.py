@@ -7,6 +7,8 @@ one row per batch.  Vectors that differ by a positive whole factor point the sam
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -39,7 +41,7 @@ def matrix_of(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pack(m: np.ndarray) -> list[bytes]:
-    """One canonical byte string per row: if exact on the grid, integers divided by their greatest common divisor, each in as many bits as the row's largest needs; else float32."""
+    """One canonical byte string per row: if exact on the grid, integers divided by their greatest common divisor, as a plane of low bytes and as many high bits as the row's largest needs; else float32."""
     out: list[bytes] = [b""] * len(m)
     for at in range(0, len(m), 1024):
         scaled = m[at : at + 1024].astype(np.float64) * GRID
@@ -47,12 +49,14 @@ def pack(m: np.ndarray) -> list[bytes]:
         whole &= m.shape[1] >= 8  # a row's size must tell its bits
         ints = np.where(whole[:, None], scaled, 1).astype(np.int64)
         ints //= np.maximum(np.gcd.reduce(ints, axis=1), 1)[:, None]
-        width = np.floor(np.log2(np.abs(ints).max(1, initial=1))).astype(int) + 2
-        for w in np.unique(width[whole]):
-            rows = np.nonzero(whole & (width == w))[0]
-            shifted = (ints[rows] + (1 << (w - 1))).astype(">u2")
-            bits = np.unpackbits(shifted.view(np.uint8).reshape(len(rows), -1, 2), axis=2)[:, :, 16 - w :]
-            packed = np.packbits(bits.reshape(len(rows), -1), axis=1)
+        high = np.maximum(np.floor(np.log2(np.abs(ints).max(1, initial=1))).astype(int) + 2 - 8, 0)
+        for h in np.unique(high[whole]):
+            rows = np.nonzero(whole & (high == h))[0]
+            shifted = (ints[rows] + (1 << (h + 7))).astype(np.uint16)
+            packed = shifted.astype(np.uint8)
+            if h:
+                bits = np.unpackbits((shifted >> 8).astype(np.uint8)[:, :, None], axis=2)[:, :, 8 - h :]
+                packed = np.concatenate([packed, np.packbits(bits.reshape(len(rows), -1), axis=1)], axis=1)
             for i, r in zip(rows, packed):
                 out[at + i] = r.tobytes()
         for i in np.nonzero(~whole)[0]:
@@ -66,16 +70,19 @@ def unpack(rows: list[bytes], dim: int) -> np.ndarray:
     sizes = np.fromiter((len(r) for r in rows), np.int64, len(rows))
     for size in np.unique(sizes):
         chosen = np.nonzero(sizes == size)[0]
-        w = int(size) * 8 // dim
+        h = (int(size) - dim) * 8 // dim
         for i in range(0, len(chosen), 1024):
             part = chosen[i : i + 1024]
-            raw = np.frombuffer(b"".join(rows[j] for j in part), np.uint8).reshape(len(part), -1)
+            raw = np.frombuffer(b"".join([rows[j] for j in part]), np.uint8).reshape(len(part), -1)
             if size == 4 * dim:
                 out[part] = raw.view("<f4")
                 continue
-            bits = np.zeros((len(part), dim, 16), np.uint8)
-            bits[:, :, 16 - w :] = np.unpackbits(raw, axis=1)[:, : dim * w].reshape(len(part), dim, w)
-            out[part] = np.packbits(bits, axis=2).reshape(len(part), -1).view(">u2").astype(np.float32) - (1 << (w - 1))
+            value = raw[:, :dim].astype(np.int32)
+            if h:
+                bits = np.unpackbits(raw[:, dim:], axis=1)[:, : dim * h].reshape(len(part), dim, h)
+                for j in range(h):
+                    value += bits[:, :, j].astype(np.int32) << (7 + h - j)
+            out[part] = value - (1 << (h + 7))
     return out
 
 
@@ -94,6 +101,7 @@ def exact_cosine(raw: np.ndarray, norm: np.ndarray, a: np.ndarray, b: np.ndarray
     return np.round(out, 6)
 
 
+@lru_cache(maxsize=8)
 def rotation(dim: int, columns: int | None = None, seed: int = 7) -> np.ndarray:
     """A random orthogonal matrix (its first ``columns`` columns), the same for every worker."""
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
@@ -244,14 +252,17 @@ def merge_copies(table: pa.Table) -> tuple[list[bytes], np.ndarray, list[np.ndar
     slot: dict[bytes, int] = {}
     vecs: list[bytes] = []
     home: list[bool] = []
-    ids: list[list[int]] = []
-    for h, i, v in zip(table.column("home").to_pylist(), table.column("ids").to_pylist(), table.column("vec").to_pylist()):
+    ids: list[list] = []
+    lists = table.column("ids").combine_chunks()
+    flat, cuts = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+    cuts = cuts - cuts[0]
+    for h, a, b, v in zip(table.column("home").to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist(), table.column("vec").to_pylist()):
         k = slot.setdefault(v, len(vecs))
         if k == len(vecs):
             vecs.append(v)
             home.append(h)
-            ids.append(i)
+            ids.append([flat[a:b]])
         else:
             home[k] = home[k] or h
-            ids[k] = ids[k] + i
-    return vecs, np.array(home, bool), [np.unique(np.array(i, np.int64)) for i in ids]
+            ids[k].append(flat[a:b])
+    return vecs, np.array(home, bool), [i[0] if len(i) == 1 and len(i[0]) == 1 else np.unique(np.concatenate(i)) for i in ids]
