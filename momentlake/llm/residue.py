@@ -60,7 +60,7 @@ LOOSE_STYLES = {
 STOCK = re.compile(
     r"(?i)^(?:(?:error |http )?(?:40[0134]|410|429|50[0234])\b[ :-]*(?:$|not found|forbidden|unauthorized|bad|gone|too many|internal server|service unavailable|gateway)|http [45]\d\d"
     r"|page not found|not found|access denied|permission denied|forbidden|unauthorized|gateway time-?out|service unavailable|gone\b|bad gateway|internal (?:server )?(?:error|failure)|service unavailable|connection (?:reset|refused|timed out)|too many requests|oops"
-    r"|\W*error\W+code\W+\d{3}|\w+(?:\.\w+)+(?:exception|error)\b|database is locked|cookies and (?:java)?scripts (?:are|must)|unable to (?:load|show|open|display|see)\b.*(?:missing|blocked|disabled)"
+    r"|\W*error\W+code\W+\d{3}|\w{1,60}(?:\.\w{1,60}){1,12}(?:exception|error)\b|database is locked|cookies and (?:java)?scripts (?:are|must)|unable to (?:load|show|open|display|see)\b.*(?:missing|blocked|disabled)"
     r"|(?:the|this|your) \w+(?: \w+){0,3} (?:is (?:temporarily )?(?:unavailable|offline|blocked|locked)|has expired|does not exist any ?more|could not be (?:loaded|reached|found)|ran into an unexpected error)[.!]?$"
     r"|(?:enable|allow|activate|turn on|switch on) (?:javascript|cookies|scripts|client-side code|active content)|für diese (?:ansicht|seite) m(?:ü|ue)ssen|die seite konnte nicht"
     r"|too many (?:searches|requests|attempts)|traceback \(most recent call last\)|file \W[^\"']+\W, line \d+|\w+error\b:? ?\W?\w*\W*$|select \w+.* from \w+|scripting (?:is )?disabled"

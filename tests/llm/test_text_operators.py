@@ -85,6 +85,14 @@ def notes(rng, n):
     return [" ".join(f"{rng.choice(who)} {rng.choice(what)} at {rng.randrange(60)}:{rng.randrange(60):02}." for _ in range(rng.randrange(1, 6))) for _ in range(n)]
 
 
+def test_odd_long_texts(spark):
+    odd = ["a." * 60_000, "[" * 20_000, "{{" * 20_000, "<a " + "x " * 60_000, "<" * 20_000, "&amp;" * 20_000, "word " * 60_000, "- \n" * 5000, "\u200b" * 1000, "$" * 5000]
+    df = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    assert residue.residue_documents(df, "doc_id", "text").count() <= len(odd)
+    tests = spark.createDataFrame([("q", " ".join(["word"] * 12))], "id string, a string")
+    assert {r.doc_id for r in leakage.leaked_spans(df, "doc_id", "text", tests, "id", ["a"]).collect()} == {6}
+
+
 def test_residue_on_held_out_records(spark):
     rng = random.Random(9)
     plain = notes(rng, 600)
