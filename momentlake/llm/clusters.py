@@ -155,9 +155,7 @@ def communities(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, rounds: int
 def _cell_members(table: pa.Table, dim: int, k: int, min_cosine: float, slack: float, typical: int) -> pa.Table:
     vecs, home, ids = V.merge_copies(table)
     cell = table.column("cell")[0].as_py()
-    raw = V.unpack(vecs, dim)
-    norm = np.sqrt(np.einsum("ij,ij->i", raw, raw, dtype=np.float64))
-    u = raw / norm[:, None].astype(np.float32)
+    u = V.unit(V.unpack(vecs, dim))
     n = len(u)
     sketch = (u - u.mean(0)) @ V.rotation(dim, SKETCH)  # what all vectors of the cell share tells none of them apart
     near, _ = neighbour_descent(sketch, k)
@@ -168,7 +166,7 @@ def _cell_members(table: pa.Table, dim: int, k: int, min_cosine: float, slack: f
     a, b = pair // n, pair % n
     quick = np.concatenate([np.einsum("ij,ij->i", u[a[i : i + 8192]], u[b[i : i + 8192]]) for i in range(0, len(a), 8192)]) if len(a) else np.zeros(0)
     a, b = a[quick >= min_cosine - slack], b[quick >= min_cosine - slack]
-    w = V.exact_cosine(raw, norm, a, b)
+    w = V.exact_cosine(vecs, dim, a, b)
     a, b, w = a[w >= min_cosine], b[w >= min_cosine], w[w >= min_cosine]
     com = communities(n, a, b, w)
     inside = com[a] == com[b]
@@ -181,17 +179,17 @@ def _cell_members(table: pa.Table, dim: int, k: int, min_cosine: float, slack: f
     rank = np.arange(n) - np.repeat(start, length)
     chosen = order[(rank < typical) & (np.repeat(length, length) > 1)]
     ea, eb = [a], [b]
-    for i in range(0, n, 4096):
+    for i in range(0, n, 2048):
         for j in range(0, len(chosen), 4096):
-            x, y = np.nonzero(u[i : i + 4096] @ u[chosen[j : j + 4096]].T >= min_cosine - slack)
+            x, y = np.nonzero(u[i : i + 2048] @ u[chosen[j : j + 4096]].T >= min_cosine - slack)
             x, y = x + i, chosen[j : j + 4096][y]
             other = com[x] != com[y]
             x, y = x[other], y[other]
             _, one = np.unique(x * np.int64(n) + com[y], return_index=True)  # one link to a community is enough, others are tried if it fails
-            good = V.exact_cosine(raw, norm, x[one], y[one]) >= min_cosine
+            good = V.exact_cosine(vecs, dim, x[one], y[one]) >= min_cosine
             failed = np.isin(x * np.int64(n) + com[y], (x[one] * np.int64(n) + com[y[one]])[~good])
             x2, y2 = x[failed], y[failed]
-            good2 = V.exact_cosine(raw, norm, x2, y2) >= min_cosine
+            good2 = V.exact_cosine(vecs, dim, x2, y2) >= min_cosine
             ea += [x[one][good], x2[good2]]
             eb += [y[one][good], y2[good2]]
     part = components(n, np.concatenate(ea), np.concatenate(eb))

@@ -97,9 +97,7 @@ def scan(q: np.ndarray, y: np.ndarray, limit: np.ndarray, k: int, confidence: fl
 
 def _cell_pairs(table: pa.Table, dim: int, k: int, min_cosine: float, confidence: float) -> pa.Table:
     vecs, home, ids = V.merge_copies(table)
-    raw = V.unpack(vecs, dim)
-    norm = np.sqrt(np.einsum("ij,ij->i", raw, raw, dtype=np.float64))
-    rotated = (raw / norm[:, None].astype(np.float32)) @ V.rotation(dim)
+    rotated = V.unit(V.unpack(vecs, dim)) @ V.rotation(dim)
     h, v = np.nonzero(home)[0], np.nonzero(~home)[0]
     most = np.float32(2 - 2 * min_cosine + 1e-5)
     found = []
@@ -112,7 +110,7 @@ def _cell_pairs(table: pa.Table, dim: int, k: int, min_cosine: float, confidence
             found.append((v[a], h[b]))
     a = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
     b = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
-    cos = V.exact_cosine(raw, norm, a, b)
+    cos = V.exact_cosine(vecs, dim, a, b)
     ok = cos >= min_cosine
     a, b, cos = a[ok], b[ok], cos[ok]
     order = np.argsort(a, kind="stable")

@@ -89,15 +89,18 @@ def unpack(rows: list[bytes], dim: int) -> np.ndarray:
 def unit(m: np.ndarray) -> np.ndarray:
     """Rows scaled to length 1, float32 (lengths in double precision)."""
     norm = np.sqrt(np.einsum("ij,ij->i", m, m, dtype=np.float64))
-    return (m / norm[:, None]).astype(np.float32)
+    return m / norm[:, None].astype(np.float32)
 
 
-def exact_cosine(raw: np.ndarray, norm: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosines of the row pairs (a, b) in double precision, rounded to 6 decimals."""
+def exact_cosine(rows: list[bytes], dim: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of the pairs (a, b) of packed rows in double precision, rounded to 6 decimals; only the rows of a few thousand pairs are unpacked at a time."""
     out = np.empty(len(a), np.float64)
-    for i in range(0, len(a), 8192):
-        p, q = a[i : i + 8192], b[i : i + 8192]
-        out[i : i + 8192] = np.einsum("ij,ij->i", raw[p].astype(np.float64), raw[q].astype(np.float64)) / (norm[p] * norm[q])
+    for i in range(0, len(a), 4096):
+        used, at = np.unique(np.concatenate([a[i : i + 4096], b[i : i + 4096]]), return_inverse=True)
+        m = unpack([rows[j] for j in used], dim).astype(np.float64)
+        norm = np.sqrt(np.einsum("ij,ij->i", m, m))
+        p, q = np.split(at, 2)
+        out[i : i + 4096] = np.einsum("ij,ij->i", m[p], m[q]) / (norm[p] * norm[q])
     return np.round(out, 6)
 
 
