@@ -147,15 +147,19 @@ def _lloyd(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     return c
 
 
+def _shares(s: np.ndarray, off: np.ndarray) -> np.ndarray:
+    best = [(s[i : i + 1024] - off).argmax(1) for i in range(0, len(s), 1024)]
+    return np.bincount(np.concatenate(best), minlength=len(off)) / len(s)
+
+
 def _handicap(s: np.ndarray, most: float, rounds: int = 40, step: float = 0.02) -> np.ndarray:
     """What to take off each centroid's similarities so that no cell holds more than a share ``most`` of the sample, as far as possible.
 
     Vectors without close relatives gather at the centroids nearest the mean; they are spread over their next best cells.
     """
-    k = s.shape[1]
-    off = np.zeros(k, np.float32)
+    off = np.zeros(s.shape[1], np.float32)
     for _ in range(rounds):
-        share = np.bincount((s - off).argmax(1), minlength=k) / len(s)
+        share = _shares(s, off)
         over = share > most
         if not over.any():
             break
@@ -189,10 +193,10 @@ def fit_cells(df: DataFrame, id_col: str, vec_col: str, dim: int, rows: int, *,
             x /= np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
             k = min(cells, max(1, len(x) // 2))
             c = _lloyd(x, k, rounds, 5)
-            s = x @ c.T if len(x) * k <= 1 << 26 else x[:: -(-len(x) * k // (1 << 26))] @ c.T  # at most 256 MB
+            x = x[:: -(-len(x) * k // (1 << 26))]
+            s = np.concatenate([(x[i : i + 1024] @ c.T).astype(np.float16) for i in range(0, len(x), 1024)])  # at most 128 MB
             off = _handicap(s, evenness / k)
-            share = np.bincount((s - off).argmax(1), minlength=k) / len(s)
-            blocks = np.maximum(1, np.ceil(share * rows / block_rows)).astype(np.int64)
+            blocks = np.maximum(1, np.ceil(_shares(s, off) * rows / block_rows)).astype(np.int64)
             yield pa.RecordBatch.from_pydict({"mean": [mean.tobytes()], "c": [c.tobytes()], "blocks": [blocks.tobytes()], "off": [off.tobytes()]})
 
     got = picked.mapInArrow(fit, "mean binary, c binary, blocks binary, off binary").collect()
