@@ -179,15 +179,17 @@ def fit_cells(df: DataFrame, id_col: str, vec_col: str, dim: int, rows: int, *,
     scale = 1 << 24
     wanted = min(scale, int(scale * cells * sample_per_cell / max(rows, 1)) + 1)
     most = 2 * sample_per_cell * max_cells
-    picked = df.select(id_col, vec_col).where(F.pmod(F.xxhash64(F.lit(11), F.col(id_col)), F.lit(scale)) < wanted).limit(most)
+    picked = df.select(id_col, vec_col).where(F.col(id_col).isNotNull()).where(F.pmod(F.xxhash64(F.lit(11), F.col(id_col)), F.lit(scale)) < wanted).limit(most)
 
     def fit(batches):
-        parts = []
+        parts, ids = [np.zeros((0, dim), np.float32)], [np.zeros(0, np.int64)]
         for b in batches:
             at, m = matrix_of(b.column(1), dim)
             parts.append(unit(m))
-        x = np.concatenate(parts) if parts else np.zeros((0, dim), np.float32)
-        if len(x):
+            ids.append(b.column(0).to_numpy(zero_copy_only=False)[at].astype(np.int64))
+        if sum(map(len, ids)):
+            x = np.concatenate(parts)[np.unique(np.concatenate(ids), return_index=True)[1]]  # in order of id, so every run fits the same cells
+            parts.clear()
             mean = x.mean(0, dtype=np.float64).astype(np.float32)
             x -= mean
             x /= np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
@@ -255,7 +257,7 @@ def by_cell(rows: DataFrame, cells: Cells) -> DataFrame:
 
 
 def merge_copies(table: pa.Table) -> tuple[list[bytes], np.ndarray, list[np.ndarray]]:
-    """The distinct vectors of a cell, whether each is at home there, and each one's ids, ascending."""
+    """The distinct vectors of a cell in order of their smallest id, whether each is at home there, and each one's ids, ascending."""
     slot: dict[bytes, int] = {}
     vecs: list[bytes] = []
     home: list[bool] = []
@@ -272,4 +274,6 @@ def merge_copies(table: pa.Table) -> tuple[list[bytes], np.ndarray, list[np.ndar
         else:
             home[k] = home[k] or h
             ids[k].append(flat[a:b])
-    return vecs, np.array(home, bool), [i[0] if len(i) == 1 and len(i[0]) == 1 else np.unique(np.concatenate(i)) for i in ids]
+    own = [i[0] if len(i) == 1 and len(i[0]) == 1 else np.unique(np.concatenate(i)) for i in ids]
+    order = sorted(range(len(vecs)), key=lambda k: int(own[k][0]))  # whatever order the shuffle gave them
+    return [vecs[k] for k in order], np.array(home, bool)[order], [own[k] for k in order]
