@@ -6,8 +6,9 @@
    compares a rotated leading block of the vectors; edges count only after a check in double precision.
 3. Local moving by modularity gain, of vectors and then of communities, finds communities in the cell's graph.
    A vector's internal degree is the weight of its edges into its own community.
-4. An exact check follows: every vector of the cell is compared with the members of highest degree of each
-   community; linked ones (cosine >= ``min_cosine``) join.
+4. An exact check follows: every vector of the cell is compared with every vector of other components; linked ones
+   (cosine >= ``min_cosine``) join. So inside a cell the components are those of the whole threshold graph, whatever
+   the descent missed.
 5. Parts of different cells that share a vector are one cluster (connected components by alternating minimum
    label and pointer jumping, with checkpoints). Clusters under ``min_size`` vanish.
 
@@ -152,7 +153,31 @@ def communities(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, rounds: int
     return node
 
 
-def _cell_members(table: pa.Table, dim: int, k: int, min_cosine: float, slack: float, typical: int) -> pa.Table:
+def _join_all(u: np.ndarray, vecs: list[bytes], dim: int, part: np.ndarray, min_cosine: float, slack: float, rows: int = 1024, cols: int = 4096) -> np.ndarray:
+    """``part`` (a component of each row of ``u``, by smallest member) after joining all components between which any two rows are linked.
+
+    All pairs are compared, block by block. ``slack`` is above the error of single precision: similarities beyond it are
+    decided at once, those within it in double precision if their components are still apart.
+    """
+    n = len(u)
+    for i in range(0, n, rows):
+        for j in range(i, n, cols):
+            s = u[i : i + rows] @ u[j : j + cols].T
+            x, y = np.nonzero((s >= min_cosine - slack) & (part[i : i + rows, None] != part[None, j : j + cols]))
+            if not len(x):
+                continue
+            sure = s[x, y] >= min_cosine + slack
+            x, y = x + i, y + j
+            part = components(n, part[x[sure]], part[y[sure]])[part]
+            x, y = x[~sure], y[~sure]
+            apart = part[x] != part[y]
+            x, y = x[apart], y[apart]
+            good = V.exact_cosine(vecs, dim, x, y) >= min_cosine
+            part = components(n, part[x[good]], part[y[good]])[part]
+    return part
+
+
+def _cell_members(table: pa.Table, dim: int, k: int, min_cosine: float, slack: float) -> pa.Table:
     vecs, home, ids = V.merge_copies(table)
     cell = table.column("cell")[0].as_py()
     u = V.unit(V.unpack(vecs, dim))
@@ -172,27 +197,7 @@ def _cell_members(table: pa.Table, dim: int, k: int, min_cosine: float, slack: f
     inside = com[a] == com[b]
     copies = np.array([len(i) for i in ids])
     degree = np.bincount(a[inside], w[inside] * copies[b[inside]], n) + np.bincount(b[inside], w[inside] * copies[a[inside]], n) + copies - 1
-    # exact check: each vector against the most typical members of each community
-    order = np.lexsort((np.arange(n), -degree, com))
-    start = np.nonzero(np.r_[True, com[order][1:] != com[order][:-1]])[0]
-    length = np.diff(np.r_[start, n])
-    rank = np.arange(n) - np.repeat(start, length)
-    chosen = order[(rank < typical) & (np.repeat(length, length) > 1)]
-    ea, eb = [a], [b]
-    for i in range(0, n, 2048):
-        for j in range(0, len(chosen), 4096):
-            x, y = np.nonzero(u[i : i + 2048] @ u[chosen[j : j + 4096]].T >= min_cosine - slack)
-            x, y = x + i, chosen[j : j + 4096][y]
-            other = com[x] != com[y]
-            x, y = x[other], y[other]
-            _, one = np.unique(x * np.int64(n) + com[y], return_index=True)  # one link to a community is enough, others are tried if it fails
-            good = V.exact_cosine(vecs, dim, x[one], y[one]) >= min_cosine
-            failed = np.isin(x * np.int64(n) + com[y], (x[one] * np.int64(n) + com[y[one]])[~good])
-            x2, y2 = x[failed], y[failed]
-            good2 = V.exact_cosine(vecs, dim, x2, y2) >= min_cosine
-            ea += [x[one][good], x2[good2]]
-            eb += [y[one][good], y2[good2]]
-    part = components(n, np.concatenate(ea), np.concatenate(eb))
+    part = _join_all(u, vecs, dim, components(n, a, b), min_cosine, slack)
     size = np.bincount(part, copies, n)
     out = {"id": [], "part": [], "community": [], "degree": [], "home": []}
     for i in np.nonzero(size[part] > 1)[0]:
@@ -205,7 +210,7 @@ def _cell_members(table: pa.Table, dim: int, k: int, min_cosine: float, slack: f
     return pa.table({"id": pa.array(out["id"], pa.int64()), "part": pa.array(out["part"], pa.string()), "community": pa.array(out["community"], pa.string()), "degree": pa.array(out["degree"], pa.float64()), "home": pa.array(out["home"], pa.bool_())})
 
 
-def similarity_clusters(df: DataFrame, id_col: str, vec_col: str, *, dim: int, min_cosine: float, min_size: int = 4, k: int = 10, probes: int = 4, margin: float = 0.15, rows_per_cell: int = 1000, typical: int = 6) -> DataFrame:
+def similarity_clusters(df: DataFrame, id_col: str, vec_col: str, *, dim: int, min_cosine: float, min_size: int = 4, k: int = 10, probes: int = 4, margin: float = 0.15, rows_per_cell: int = 1000) -> DataFrame:
     """``(cluster_id, item_id, community, degree)``: the members of every cluster of at least ``min_size`` rows.
 
     ``community`` is the modularity community inside the cluster, ``degree`` the summed cosine of the row's graph
@@ -216,7 +221,7 @@ def similarity_clusters(df: DataFrame, id_col: str, vec_col: str, *, dim: int, m
     if cells is None:
         return spark.createDataFrame([], "cluster_id long, item_id long, community string, degree double")
     placed = V.by_cell(V.to_cells(df, id_col, vec_col, dim, cells, probes=probes, margin=margin), cells)
-    members = placed.groupBy("cell").applyInArrow(lambda t: _cell_members(t, dim, k, min_cosine, 1e-4, typical), MEMBER_SCHEMA).checkpoint()
+    members = placed.groupBy("cell").applyInArrow(lambda t: _cell_members(t, dim, k, min_cosine, 1e-4), MEMBER_SCHEMA).checkpoint()
     per_item = members.groupBy("id").agg(
         F.min("part").alias("part"),
         F.collect_set("part").alias("parts"),  # at most one per visited cell

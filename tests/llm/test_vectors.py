@@ -105,6 +105,21 @@ def test_clusters_equal_brute_force(spark):
     assert all(sizes[c] == sum(1 for x in got if x[0] == c) for c in sizes) and {r.label for r in described} == {"x"}
 
 
+def test_clusters_joined_by_a_link_in_no_list(spark):
+    """a and b link two groups; each has ten nearer neighbours in its own group, and neither is typical of it."""
+    rng = np.random.default_rng(8)
+    e = np.eye(DIM)
+    groups = [c + 0.05 * rng.standard_normal((30, DIM)) / np.sqrt(DIM) for c in (e[0], e[1], -e[0], -e[1])]  # the opposites keep the mean at 0
+    a, b = 0.72 * e[0] + 0.18 * e[1] + 0.67 * e[2], 0.18 * e[0] + 0.72 * e[1] + 0.67 * e[2]
+    rows = [np.round(v / np.linalg.norm(v) * 1024) / 1024 for v in [*np.concatenate(groups), a, b]]
+    data = [(i, [float(x) for x in v]) for i, v in enumerate(rows)]
+    _, s = exact(data)
+    assert s[120, 121] >= 0.66 and (np.sort(s[120])[-11:] > s[120, 121]).sum() >= 10 and (s[30:60, 120] < 0.3).all() and (s[:30, 121] < 0.3).all()
+    want = cluster_rule(data, 0.66, 4)
+    out = clusters.similarity_clusters(frame(spark, data), "id", "emb", dim=DIM, min_cosine=0.66, probes=8, margin=100.0)
+    assert {(r.cluster_id, r.item_id) for r in out.collect()} == want and (0, 59) in want
+
+
 @pytest.mark.parametrize("n", [1, 30, 1500])
 def test_neighbour_descent(n):
     rng = np.random.default_rng(n)
