@@ -148,3 +148,11 @@ def test_components(spark):
             parent[y] = x
     assert got == {n: root(n) for n in parent}
     assert components.connected_components(spark.createDataFrame([], "a string, b string"), "a", "b").count() == 0
+
+
+def test_components_of_a_chain_in_any_order(spark):
+    """Labels that do not fall along the chain: one component, however long it is."""
+    names = [f"{i:04}" for i in range(300)]
+    random.Random(3).shuffle(names)
+    got = components.connected_components(spark.createDataFrame(list(zip(names[1:], names)), "a string, b string"), "a", "b").collect()
+    assert {r.a: r.label for r in got} == dict.fromkeys(names, "0000")
