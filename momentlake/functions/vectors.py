@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -58,3 +58,41 @@ def score(df: DataFrame, vec_col: str, queries: np.ndarray, *, metric: str = "do
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), scores], [*names, out])
 
     return df.mapInArrow(run, schema)
+
+
+def batch_top_k(items: DataFrame, id_col: str, vec_col: str, queries: DataFrame, query_col: str, query_vec: str, k: int, *, dim: int, digits: int = 6, item_rows: int = 16384, query_rows: int = 2048) -> DataFrame:
+    """``(query, <id_col>, score, place)``: for every row of ``queries`` its ``k`` best rows of ``items``, ties to the smaller id.
+
+    Scores as in ``score`` with ``metric="dot"``. Both sides are dealt into blocks of about ``item_rows`` and ``query_rows`` rows;
+    a task compares one block with one block and passes on ``k`` rows a query. No vector reaches the driver. Rows without an id
+    or with a vector that is null, of another length than ``dim`` or with null elements take no part.
+    """
+    ni, nq = -(-max(items.count(), 1) // item_rows), -(-max(queries.count(), 1) // query_rows)
+    i = items.select(F.col(id_col).cast("long").alias("i"), F.col(vec_col).cast("array<double>").alias("v")).where(F.col("i").isNotNull() & (F.size("v") == dim) & ~F.exists("v", lambda x: x.isNull()))
+    q = queries.select(F.col(query_col).cast("long").alias("q"), F.col(query_vec).cast("array<double>").alias("w")).where(F.col("q").isNotNull() & (F.size("w") == dim) & ~F.exists("w", lambda x: x.isNull()))
+    i = i.select(F.pmod(F.xxhash64("i"), F.lit(ni)).alias("a"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("b"), "i", "v")
+    q = q.select(F.explode(F.sequence(F.lit(0), F.lit(ni - 1)).cast("array<long>")).alias("a"), F.pmod(F.xxhash64("q"), F.lit(nq)).cast("int").alias("b"), "q", "w")
+
+    def matrix(column):
+        return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        out_q, out_i, out_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if left.num_rows and right.num_rows:
+            ids, m = left.column("i").to_numpy(), matrix(left.column("v"))
+            qs, w = right.column("q").to_numpy(), matrix(right.column("w"))
+            w = w / np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-12)
+            last = min(k, len(ids)) - 1
+            for at in range(0, len(qs), 256):
+                s = np.round(w[at : at + 256] @ m.T, digits) + 0.0
+                x, y = np.nonzero(s >= -np.partition(-s, last, axis=1)[:, last : last + 1])  # with all ties of the k-th
+                order = np.lexsort((ids[y], -s[x, y], x))
+                x, y = x[order], y[order]
+                keep = np.arange(len(x)) - np.searchsorted(x, x) < k
+                x, y = x[keep], y[keep]
+                out_q.append(qs[at + x]), out_i.append(ids[y]), out_s.append(s[x, y])
+        return pa.table({"query": np.concatenate(out_q), "i": np.concatenate(out_i), "score": np.concatenate(out_s)})
+
+    found = i.groupBy("a", "b").cogroup(q.groupBy("a", "b")).applyInArrow(best, "query long, i long, score double")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.asc("i")))
+    return found.withColumn("place", place).where(F.col("place") <= k).withColumnRenamed("i", id_col)

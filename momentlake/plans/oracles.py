@@ -92,6 +92,10 @@ SQL = {
         ), s AS (SELECT e.vec_id, query, round(list_dot_product(e.embedding::DOUBLE[], v) / sqrt(list_dot_product(v, v)), 6) AS score FROM embeddings e, q
         ), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id)::INT AS place FROM s)
         SELECT * FROM r WHERE place <= 10""",
+    "multi_query_batch_all": """WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0
+        ), s AS (SELECT e.vec_id, query, round(list_dot_product(e.embedding::DOUBLE[], v) / sqrt(list_dot_product(v, v)), 6) AS score FROM embeddings e, q
+        ), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id)::INT AS place FROM s)
+        SELECT * FROM r WHERE place <= 10""",
     "embedding_fidelity": """SELECT a.label, round(avg(round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6)), 4) AS mean_cosine, count(*) AS n
         FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 GROUP BY 1""",
     "best_per_timestamp": f"WITH {ITEMS}, {_best()} SELECT * FROM best",

@@ -96,6 +96,12 @@ def multi_query_batch(spark, d):
     return ranking.numbered(rows, [F.desc("score"), F.asc("vec_id")], ["query"], "place").where("place <= 10")
 
 
+@query
+def multi_query_batch_all(spark, d):
+    e = _t(spark, d, "embeddings").select("vec_id", "embedding")
+    return vectors.batch_top_k(e, "vec_id", "embedding", e.where("vec_id % 20 = 0"), "vec_id", "embedding", 10, dim=64)
+
+
 @query
 def embedding_fidelity(spark, d):
     e = _t(spark, d, "embeddings")
