@@ -217,7 +217,7 @@ def similarity_clusters(df: DataFrame, id_col: str, vec_col: str, *, dim: int, m
     edges into it.
     """
     spark = df.sparkSession
-    cells = V.fit_cells(df, id_col, vec_col, dim, df.count(), rows_per_cell=rows_per_cell)
+    cells = V.fit_cells(df, id_col, vec_col, dim, df.count(), probes=probes, margin=margin, rows_per_cell=rows_per_cell)
     if cells is None:
         return spark.createDataFrame([], "cluster_id long, item_id long, community string, degree double")
     placed = V.by_cell(V.to_cells(df, id_col, vec_col, dim, cells, probes=probes, margin=margin), cells)

@@ -140,7 +140,7 @@ def neighbours(df: DataFrame, id_col: str, vec_col: str, *, dim: int, k: int, mi
     ``probes`` and ``margin`` steer how many cells a vector visits beside its own (``probes=rows`` and a margin of 2 make
     the search exhaustive).
     """
-    cells = V.fit_cells(df, id_col, vec_col, dim, df.count(), rows_per_cell=rows_per_cell)
+    cells = V.fit_cells(df, id_col, vec_col, dim, df.count(), probes=probes, margin=margin, rows_per_cell=rows_per_cell)
     if cells is None:
         return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
     placed = V.by_cell(V.to_cells(df, id_col, vec_col, dim, cells, probes=probes, margin=margin), cells)

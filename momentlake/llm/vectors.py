@@ -117,6 +117,10 @@ class Cells:
     def __init__(self, mean: np.ndarray, centroids: np.ndarray, blocks: np.ndarray, handicap: np.ndarray):
         self.mean, self.centroids, self.blocks, self.handicap = mean, centroids, blocks, handicap
 
+    def tasks(self) -> np.ndarray:
+        """Per cell the number of its pairs of blocks (i <= j), each of which is brought together on its own."""
+        return self.blocks * (self.blocks + 1) // 2
+
     def probe(self, u: np.ndarray, probes: int, margin: float) -> tuple[np.ndarray, np.ndarray]:
         """For unit rows: the ``probes`` best cells, best first, and which of them lie within ``margin`` of the best."""
         if len(u) > 2048:  # bounds the similarities held at once
@@ -167,13 +171,25 @@ def _handicap(s: np.ndarray, most: float, rounds: int = 40, step: float = 0.02)
     return off
 
 
-def fit_cells(df: DataFrame, id_col: str, vec_col: str, dim: int, rows: int, *, rows_per_cell: int = 1000, max_cells: int = 4096, sample_per_cell: int = 16, block_rows: int = 16384, rounds: int = 3, evenness: float = 1.5) -> Cells | None:
+def _arrivals(s: np.ndarray, off: np.ndarray, probes: int, margin: float) -> np.ndarray:
+    """Per cell the share of the sample that goes there, at home or as a visitor."""
+    out = np.zeros(len(off))
+    r = min(probes, len(off))
+    for i in range(0, len(s), 1024):
+        v = s[i : i + 1024] - off
+        top = np.argpartition(-v, r - 1, axis=1)[:, :r]
+        best = np.take_along_axis(v, top, 1)
+        out += np.bincount(top[best >= best.max(1, keepdims=True) - margin], minlength=len(off))
+    return out / len(s)
+
+
+def fit_cells(df: DataFrame, id_col: str, vec_col: str, dim: int, rows: int, *, probes: int, margin: float, rows_per_cell: int = 1000, max_cells: int = 4096, sample_per_cell: int = 16, block_rows: int = 16384, rounds: int = 3, evenness: float = 1.5) -> Cells | None:
     """Fit the coarse cells on a bounded sample; None if no row is usable.
 
     The sample is chosen by a hash of the id and holds about ``sample_per_cell`` rows per cell, so at most
     ``sample_per_cell * max_cells`` (65,536) rows, fitted inside one task; only the centroids reach the driver.
-    Every row is indexed afterwards. Cells above ``evenness`` times the mean size are handicapped. A cell that by its share of the sample exceeds ``block_rows`` rows is
-    split into several blocks.
+    Every row is indexed afterwards. Cells above ``evenness`` times the mean size are handicapped. A cell to which by its share of the sample
+    more than ``block_rows`` rows go, visitors (``probes``, ``margin``) included, is split into several blocks.
     """
     cells = int(min(max(rows // rows_per_cell, 8), max_cells))
     scale = 1 << 24
@@ -198,7 +214,7 @@ def fit_cells(df: DataFrame, id_col: str, vec_col: str, dim: int, rows: int, *,
             x = x[:: -(-len(x) * k // (1 << 26))]
             s = np.concatenate([(x[i : i + 1024] @ c.T).astype(np.float16) for i in range(0, len(x), 1024)])  # at most 128 MB
             off = _handicap(s, evenness / k)
-            blocks = np.maximum(1, np.ceil(_shares(s, off) * rows / block_rows)).astype(np.int64)
+            blocks = np.maximum(1, np.ceil(_arrivals(s, off, probes, margin) * rows / block_rows)).astype(np.int64)
             yield pa.RecordBatch.from_pydict({"mean": [mean.tobytes()], "c": [c.tobytes()], "blocks": [blocks.tobytes()], "off": [off.tobytes()]})
 
     got = picked.mapInArrow(fit, "mean binary, c binary, blocks binary, off binary").collect()
@@ -210,13 +226,14 @@ def fit_cells(df: DataFrame, id_col: str, vec_col: str, dim: int, rows: int, *,
 def to_cells(df: DataFrame, id_col: str, vec_col: str, dim: int, cells: Cells, *, probes: int, margin: float) -> DataFrame:
     """One row per (vector, cell it goes to): its home cell, and as a visitor each further cell within the margin.
 
-    In a split cell a vector is at home in the block its bytes select and visits the other blocks.
+    In a split cell a vector belongs to the block its bytes select. Each pair of blocks is a group of its own, so a group
+    holds two blocks at most, any two vectors of the cell meet, and a vector is sent once for every block.
     """
     shared = df.sparkSession.sparkContext.broadcast(cells)
 
     def assign(batches):
         own = shared.value
-        first_block = np.concatenate([[0], np.cumsum(own.blocks)])
+        first_task = np.concatenate([[0], np.cumsum(own.tasks())])
         for b in batches:
             at, m = matrix_of(b.column(1), dim)
             ids_in = b.column(0).to_numpy(zero_copy_only=False)
@@ -234,11 +251,12 @@ def to_cells(df: DataFrame, id_col: str, vec_col: str, dim: int, cells: Cells, *
             for i, key in enumerate(keys):
                 for j in np.nonzero(near[i])[0]:
                     c = top[i, j]
-                    n = own.blocks[c]
-                    mine = xxhash.xxh64_intdigest(key) % int(n) if j == 0 and n > 1 else -1 if j else 0
+                    n = int(own.blocks[c])
+                    mine = xxhash.xxh64_intdigest(key) % n
                     for k in range(n):
-                        cell.append(first_block[c] + k)
-                        home.append(j == 0 and k == mine)
+                        lo, hi = min(mine, k), max(mine, k)
+                        cell.append(first_task[c] + lo * n - lo * (lo - 1) // 2 + hi - lo)
+                        home.append(j == 0)
                         ids.append(groups[key])
                         vec.append(key)
             yield pa.RecordBatch.from_arrays(
@@ -251,7 +269,7 @@ def to_cells(df: DataFrame, id_col: str, vec_col: str, dim: int, cells: Cells, *
 
 def by_cell(rows: DataFrame, cells: Cells) -> DataFrame:
     """The rows brought together by cell, several cells to a task."""
-    total = int(cells.blocks.sum())
+    total = int(cells.tasks().sum())
     tasks = max(min(2 * rows.sparkSession.sparkContext.defaultParallelism, total), min(total // 8, 2000), 1)
     return rows.repartition(tasks, "cell")
 

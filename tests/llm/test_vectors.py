@@ -120,6 +120,26 @@ def test_clusters_joined_by_a_link_in_no_list(spark):
     assert {(r.cluster_id, r.item_id) for r in out.collect()} == want and (0, 59) in want
 
 
+def test_a_split_cell_goes_in_pairs_of_blocks(spark, monkeypatch):
+    """No group holds more than two blocks, and the results are those of the whole cell."""
+    data, _ = clouds(9, groups=20, size=8)
+    ids, s = exact(data)
+    df = frame(spark, data)
+    whole = V.Cells(np.zeros(DIM, np.float32), np.eye(1, DIM, dtype=np.float32), np.array([6]), np.zeros(1, np.float32))
+    groups = {}
+    for r in V.to_cells(df, "id", "emb", DIM, whole, probes=1, margin=0.0).collect():
+        groups.setdefault(r.cell, set()).update(r.ids)
+    assert len(groups) > 6 and max(map(len, groups.values())) <= 0.6 * len(ids)
+    met = {(a, b) for g in groups.values() for a in g for b in g}
+    assert len(met) == len(ids) ** 2
+    monkeypatch.setattr(V, "fit_cells", lambda *a, **k: whole)
+    got = {(r.id, r.other) for r in neighbours.neighbours(df, "id", "emb", dim=DIM, k=5, min_cosine=0.9).collect()}
+    want = {(int(ids[a]), int(ids[b])) for a in range(len(ids)) for b in np.argsort(-s[a], kind="stable")[:5] if s[a, b] >= 0.9}
+    assert got == want
+    out = clusters.similarity_clusters(df, "id", "emb", dim=DIM, min_cosine=0.7)
+    assert {(r.cluster_id, r.item_id) for r in out.collect()} == cluster_rule(data, 0.7, 4)
+
+
 @pytest.mark.parametrize("n", [1, 30, 1500])
 def test_neighbour_descent(n):
     rng = np.random.default_rng(n)
