@@ -154,6 +154,8 @@ SQL = {
         ), r AS (SELECT unnest(p) AS piece, generate_subscripts(p, 1) - 1 AS pos FROM p) SELECT piece, count(*) AS n, max(pos)::INT AS last_pos FROM r GROUP BY 1""",
     "token_pad": f"""WITH p AS (SELECT id, list_transform(regexp_extract_all({CLEAN.format(c='query')}, {PIECES}), lambda x: length(x)::INT) AS p FROM eval_queries
         ) SELECT id, array_to_string(list_slice(list_concat([49406], list_slice(p, 1, 10), [49407], list_transform(range(12), lambda x: 0)), 1, 12), ',') AS tokens FROM p""",
+    "token_pad_full": f"""WITH p AS (SELECT id, list_transform(regexp_extract_all({CLEAN.format(c='query')}, {PIECES}), lambda x: length(x)::INT) AS p FROM eval_queries
+        ) SELECT id, array_to_string(list_slice(list_concat([49406], list_slice(p, 1, 75), [49407], list_transform(range(77), lambda x: 0)), 1, 77), ',') AS tokens FROM p""",
     "parse_yes_no": "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' WHEN 4 THEN 'yes' END AS answer FROM events",
     "p_yes_logprobs": """SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 3 = 0 THEN round(exp(round(-value / 100, 4)) / (exp(round(-value / 100, 4)) + exp(-1.5)), 6) ELSE 1.0 END AS p_yes FROM events""",
     "timecode_format": f"SELECT DISTINCT t, {_code('t')} AS code, greatest(0.0, t - 1) AS start FROM items WHERE t IS NOT NULL",

@@ -306,6 +306,12 @@ def token_pad(spark, d):
     return _t(spark, d, "eval_queries").select("id", F.array_join(text.fit_tokens(ids, 49406, 49407, 12), ",").alias("tokens"))
 
 
+@query
+def token_pad_full(spark, d):
+    ids = F.transform(text.pieces(text.clean_plain(F.col("query"))), lambda p: F.length(p))
+    return _t(spark, d, "eval_queries").select("id", F.array_join(text.fit_tokens(ids, 49406, 49407), ",").alias("tokens"))
+
+
 @query
 def bpe_tokens(spark, d):
     import public_tokenizers

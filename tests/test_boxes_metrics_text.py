@@ -1,6 +1,7 @@
 import html
 import json
 import math
+import os
 import random
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from momentlake.functions import numbers, text
 from momentlake.operators import boxes, metrics
+from momentlake.plans import queries
 
 BOX = "frame int, pos int, cls int, conf double, x1 double, y1 double, x2 double, y2 double"
 
@@ -139,3 +141,12 @@ def test_p_yes(spark):
     rows = [(json.dumps(choice),), ("{}",), ("broken",), (json.dumps({"logprobs": {"content": []}}),), (None,)]
     got = [r.p for r in spark.createDataFrame(rows, "c string").select(text.p_yes(F.col("c")).alias("p")).collect()]
     assert got[0] == pytest.approx(math.exp(-0.5) / (math.exp(-0.5) + math.exp(-1))) and got[1:] == [None] * 4
+
+
+def test_full_length_cuts_no_eval_query(spark):
+    """``token_pad`` keeps ten pieces; at the length of the model every piece of every query stays."""
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("needs the driver's tables")
+    got = [r.tokens.split(",") for r in queries.QUERIES["token_pad_full"](spark, d).collect() if r.tokens is not None]
+    assert {len(t) for t in got} == {77} and sum(t[11] not in ("0", "49407") for t in got) > 0 and all(t[76] == "0" for t in got)
