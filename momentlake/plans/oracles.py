@@ -207,6 +207,7 @@ SQL = {
     "item_counts": "SELECT video_id, count(*) AS n FROM (SELECT DISTINCT id, nullif(lower(trim(video_id)), '') AS video_id FROM items) GROUP BY 1",
     "metadata_scan": "SELECT DISTINCT id, video_id, t, kind FROM items",
     "embedding_export": "SELECT vec_id AS id, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings WHERE label = 3 AND vec_id % 3 <> 0",
+    "embedding_export_all": "SELECT vec_id AS id, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings",
     "frame_lookup": """SELECT DISTINCT nullif(lower(trim(i.video_id)), '') AS video_id, i.frame_idx, i.thumb FROM items i JOIN hits h
         ON lower(trim(i.video_id)) = lower(trim(h.video_id)) AND i.frame_idx = round_even(h.t * 25, 0)::INT WHERE i.kind = 'frame' AND trim(i.video_id) <> ''""",
     "upsert_videos": """WITH o AS (SELECT c_custkey::VARCHAR AS id, '/v/' || c_name AS path, c_name AS name, 25.0::DOUBLE AS fps, c_acctbal AS duration, c_nationkey AS width, 720 AS height, CASE WHEN c_custkey % 2 = 0 THEN 'old.mp4' END AS proxy_path, 1.0::DOUBLE AS indexed_at, '{}' AS stats_json FROM customer

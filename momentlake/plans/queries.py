@@ -484,6 +484,11 @@ def embedding_export(spark, d):
     return tables.embeddings(_moments(spark, d), "3", "crop").select("id", F.round(F.aggregate("emb", F.lit(0.0), lambda s, x: s + x.cast("double")), 4).alias("total"))
 
 
+@query
+def embedding_export_all(spark, d):
+    return tables.embeddings(_moments(spark, d)).select("id", F.round(F.aggregate("emb", F.lit(0.0), lambda s, x: s + x.cast("double")), 4).alias("total"))
+
+
 @query
 def frame_lookup(spark, d):
     frames = _t(spark, d, "items").where("kind = 'frame'").select(compared("video_id").alias("video_id"), "frame_idx", "thumb").distinct()

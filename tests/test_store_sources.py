@@ -1,3 +1,4 @@
+import os
 import json
 
 import pytest
@@ -105,3 +106,12 @@ def test_probe_is_safe(spark):
     out = {r.id: (r.fps, r.duration) for r in tables.probe(raw).collect()}
     assert out == {"a": (25.0, 2.0), "b": (10.0, 0.0)}
     assert tables.item_count(spark.createDataFrame([("a",), ("b",)], "video_id string"), "").first().n == 2
+
+
+def test_whole_export_has_every_row(spark):
+    from momentlake.plans import queries
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("needs the driver's tables")
+    assert queries.QUERIES["embedding_export_all"](spark, d).count() == spark.read.parquet(f"{d}/embeddings.parquet").count()
