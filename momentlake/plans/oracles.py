@@ -185,6 +185,17 @@ SQL = {
                 SELECT c.frame, c.k, w.used, list_filter(c.c, lambda x: NOT list_contains(w.used, x.j))[1] AS best FROM w JOIN c ON c.frame = w.frame AND c.k = w.k + 1)
         ), t AS (SELECT frame, max(len(used)) AS tp FROM w GROUP BY 1), n AS (SELECT (SELECT sum(tp) FROM t)::BIGINT AS tp, (SELECT count(*) FROM a) AS na, (SELECT count(*) FROM b) AS nb)
         SELECT tp, na, nb, round(tp / na, 4) AS recall, round(tp / nb, 4) AS precision FROM n""",
+    "detection_agreement_whole": f"""WITH RECURSIVE a AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY conf DESC, pos) AS k FROM ({_boxes()})
+        ), b AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY conf DESC, pos) AS j FROM ({_boxes(9)})
+        ), o AS (SELECT a.frame, a.k, b.j, {_iou('a', 'b')} AS o FROM a JOIN b ON a.frame = b.frame AND a.cls = b.cls
+        ), c AS (SELECT a.frame, a.k, coalesce(list({{'o': o.o, 'j': o.j}} ORDER BY o.o DESC, o.j) FILTER (o.j IS NOT NULL), []) AS c FROM a LEFT JOIN o ON o.frame = a.frame AND o.k = a.k GROUP BY 1, 2
+        ), w AS (
+            SELECT frame, 0::BIGINT AS k, []::BIGINT[] AS used FROM a WHERE k = 1
+            UNION ALL
+            SELECT frame, k, CASE WHEN best.o >= 0.5 THEN list_append(used, best.j) ELSE used END FROM (
+                SELECT c.frame, c.k, w.used, list_filter(c.c, lambda x: NOT list_contains(w.used, x.j))[1] AS best FROM w JOIN c ON c.frame = w.frame AND c.k = w.k + 1)
+        ), t AS (SELECT frame, max(len(used)) AS tp FROM w GROUP BY 1), n AS (SELECT (SELECT sum(tp) FROM t)::BIGINT AS tp, (SELECT count(*) FROM a) AS na, (SELECT count(*) FROM b) AS nb)
+        SELECT tp, na, nb, round(tp / na, 4) AS recall, round(tp / nb, 4) AS precision FROM n""",
     "top_n_per_frame": f"SELECT frame, pos, place FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY conf DESC, pos)::INT AS place FROM ({_boxes()})) WHERE place <= 3",
     "decoded_boxes": """WITH r AS (SELECT l_orderkey AS frame, l_linenumber AS pos, (l_partkey % 600)::DOUBLE AS cx, (l_suppkey % 400 + 120)::DOUBLE AS cy,
             [round(l_discount * 5, 4), round(l_tax * 5, 4), round(l_discount * 5, 4), round(l_quantity * 0.01, 4)] AS s FROM lineitem

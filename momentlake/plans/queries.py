@@ -390,6 +390,11 @@ def detection_agreement(spark, d):
     return boxes.agreement(_boxes(spark, d), _boxes(spark, d, 9).where("pos % 4 <> 0"), ["frame"])
 
 
+@query
+def detection_agreement_whole(spark, d):
+    return boxes.agreement(_boxes(spark, d), _boxes(spark, d, 9), ["frame"])
+
+
 @query
 def box_iou(spark, d):
     a, b = _boxes(spark, d), _boxes(spark, d, 9)

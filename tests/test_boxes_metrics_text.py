@@ -150,3 +150,11 @@ def test_full_length_cuts_no_eval_query(spark):
         pytest.skip("needs the driver's tables")
     got = [r.tokens.split(",") for r in queries.QUERIES["token_pad_full"](spark, d).collect() if r.tokens is not None]
     assert {len(t) for t in got} == {77} and sum(t[11] not in ("0", "49407") for t in got) > 0 and all(t[76] == "0" for t in got)
+
+
+def test_agreement_of_whole_sides(spark):
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("needs the driver's tables")
+    r = queries.QUERIES["detection_agreement_whole"](spark, d).first()
+    assert r.na == r.nb > 0 and 0 < r.tp < r.na
