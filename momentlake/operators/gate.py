@@ -33,15 +33,72 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key)).limit(n).orderBy(key)
 
 
-def changed_fraction(cells: np.ndarray, reference: np.ndarray | None, threshold: float) -> float:
-    """Share of cells that differ from the reference by more than ``threshold``; 1 without a reference."""
-    if reference is None or len(reference) != len(cells):
-        return 1.0
-    return float(np.count_nonzero(np.abs(cells - reference) > threshold)) / max(len(cells), 1)
+class Mixture:
+    """Adaptive mixture of Gaussians per cell (at most ``MODES`` each), as published for background subtraction.
+
+    Each frame moves the mode it fits, weights decay, modes that lost their weight vanish, and a cell that fits no mode opens
+    one. A cell is background if it lies within ``spread`` variances of one of the weightiest modes that make up ``SHARE``.
+    """
+
+    # The defaults of the published method.
+    MODES, SHARE, FITS, START, LEAST, MOST, DECAY = 5, 0.9, 9.0, 15.0, 4.0, 75.0, 0.05
+
+    def __init__(self, cells: int, spread: float = 32.0, history: int = 50):
+        self.spread, self.history, self.frames = spread, history, 0
+        self.weight, self.mean, self.var = (np.zeros((self.MODES, cells)) for _ in range(3))
+
+    def foreground(self, x: np.ndarray) -> np.ndarray:
+        """Which cells of the next frame are foreground; the model learns the frame."""
+        self.frames += 1
+        rate = 1 / min(2 * self.frames, self.history)
+        had = self.weight > 0
+        far = (x - self.mean) ** 2
+        decayed = np.where(had, (1 - rate) * self.weight - rate * self.DECAY, 0)
+        cell = np.arange(len(x))
+        close = had & (far < self.FITS * self.var)
+        fits, at = close.any(0), close.argmax(0)  # the weightiest mode that fits
+        decayed[at[fits], cell[fits]] += rate
+        ahead = np.vstack([np.zeros(len(x)), np.cumsum(np.where(decayed < rate * self.DECAY, 0, decayed), 0)[:-1]])
+        tried = np.arange(self.MODES)[:, None] <= np.where(fits, at, self.MODES)
+        background = (had & tried & (ahead < self.SHARE) & (far < self.spread * self.var)).any(0)
+        m, c = at[fits], cell[fits]
+        step = rate / decayed[m, c]
+        self.mean[m, c] += step * (x[c] - self.mean[m, c])
+        self.var[m, c] = np.clip(self.var[m, c] + step * (far[m, c] - self.var[m, c]), self.LEAST, self.MOST)
+        self.weight = np.where(decayed < rate * self.DECAY, 0, decayed)
+        self.weight /= np.maximum(self.weight.sum(0), 1e-300)
+        new = cell[~fits]
+        slot = np.minimum((self.weight[:, new] > 0).sum(0), self.MODES - 1) if len(new) else new
+        # modes are kept in order of weight, so the first free slot is the last one, or the lightest mode's
+        order = np.argsort(-self.weight, axis=0, kind="stable")
+        self._reorder(order)
+        self.weight[slot, new] = 0
+        alone = self.weight[:, new].sum(0) == 0
+        self.weight[:, new] *= 1 - rate
+        self.weight[slot, new] = np.where(alone, 1, rate)
+        self.mean[slot, new], self.var[slot, new] = x[new], self.START
+        self.weight /= np.maximum(self.weight.sum(0), 1e-300)
+        self._reorder(np.argsort(-self.weight, axis=0, kind="stable"))
+        return ~background
+
+    def _reorder(self, order: np.ndarray) -> None:
+        self.weight, self.mean, self.var = (np.take_along_axis(m, order, 0) for m in (self.weight, self.mean, self.var))
+
+    def to_bytes(self) -> bytes:
+        return np.concatenate([[self.frames], self.weight.ravel(), self.mean.ravel(), self.var.ravel()]).tobytes()
+
+    def restore(self, raw: bytes) -> None:
+        held = np.frombuffer(raw, np.float64)
+        self.frames = int(held[0])
+        self.weight, self.mean, self.var = (m.copy() for m in held[1:].reshape(3, self.MODES, -1))
 
 
 class Gate:
-    """State of one video's gate: when a frame was last kept, the reference frame, and a background model."""
+    """One video's gate. ``run`` takes frames in order of time, in as many pieces as they come.
+
+    The time of the last kept frame, the kept frame that others are compared with (``diff``) and the background model
+    (``background``) carry over from one piece to the next.
+    """
 
     def __init__(self, *, enabled: bool = True, method: str = "score", min_fraction: float = 0.002, heartbeat: float = 30.0, diff_threshold: float = 25.0, history: int = 50):
         if method not in METHODS:
@@ -50,52 +107,90 @@ class Gate:
         self.diff_threshold, self.history = diff_threshold, history
         self.last: float | None = None
         self.reference: np.ndarray | None = None
-        self.mean: np.ndarray | None = None
-        self.var: np.ndarray | None = None
-        self.seen = 0
-
-    def motion(self, signal) -> float:
-        if self.method == "score":
-            return float(signal) if signal is not None else 0.0
-        cells = np.asarray(signal if signal is not None else [], np.float64)
+        self.mixture: Mixture | None = None
+
+    def _due(self, t: np.ndarray) -> int:
+        """The first of the times whose heartbeat is due (their number, if none)."""
+        if self.last is None:
+            return 0
+        i = int(np.searchsorted(t, self.last + self.heartbeat))
+        while i and t[i - 1] - self.last >= self.heartbeat:
+            i -= 1
+        while i < len(t) and t[i] - self.last < self.heartbeat:
+            i += 1
+        return i
+
+    def _changed(self, cells: list[np.ndarray]) -> np.ndarray:
+        """Share of each frame's cells that differ from the reference by more than the threshold; 1 without one, or one of another size."""
+        if self.reference is None or any(len(c) != len(self.reference) for c in cells):
+            return np.array([1.0 if self.reference is None or len(c) != len(self.reference) else float(np.count_nonzero(np.abs(c - self.reference) > self.diff_threshold)) / max(len(c), 1) for c in cells])
+        return np.count_nonzero(np.abs(np.stack(cells) - self.reference) > self.diff_threshold, axis=1) / max(len(self.reference), 1)
+
+    def _learned(self, x: np.ndarray) -> float:
+        if self.mixture is None or self.mixture.weight.shape[1] != len(x):
+            self.mixture = Mixture(len(x), history=self.history)
+        return float(np.count_nonzero(self.mixture.foreground(x))) / max(len(x), 1)
+
+    def run(self, t: np.ndarray, signal: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per frame the motion score, whether it is kept, and whether only because of the heartbeat."""
+        n = len(t)
+        kept, beat = np.zeros(n, bool), np.zeros(n, bool)
         if self.method == "diff":
-            return changed_fraction(cells, self.reference, self.diff_threshold)
-        # background: running mean and variance per cell, fed by every frame
-        if self.mean is None or len(self.mean) != len(cells):
-            self.mean, self.var, self.seen = cells.copy(), np.full(len(cells), self.diff_threshold**2 / 32 + 1e-9), 1
-            return 1.0
-        off = (cells - self.mean) ** 2
-        score = float(np.count_nonzero(off > 32 * self.var)) / max(len(cells), 1)
-        self.seen += 1
-        rate = 1 / min(self.seen, self.history)
-        self.mean += rate * (cells - self.mean)
-        self.var += rate * (off - self.var)
-        return score
-
-    def frame(self, t: float, signal) -> tuple[float, bool, bool]:
-        """Motion score, whether the frame is kept, and whether only because of the heartbeat."""
-        score = self.motion(signal)
-        first = self.last is None
-        due = not first and t - self.last >= self.heartbeat
-        moved = score >= self.min_fraction
-        keep = not self.enabled or first or moved or due
-        if keep:
-            self.last = t
-            if self.method == "diff":
-                self.reference = np.asarray(signal if signal is not None else [], np.float64)
-        return score, keep, bool(keep and due and not moved and self.enabled)
+            cells = [np.asarray(s if s is not None else [], np.float64) for s in signal]
+            score = np.empty(n)
+            at, width = 0, 1
+            while at < n:  # frames up to the next kept one have the same reference
+                part = score[at : at + width] = self._changed(cells[at : at + width])
+                found = self._walk(t[at : at + width], part, kept[at : at + width], beat[at : at + width], 1)
+                if found is None:
+                    at, width = at + len(part), min(2 * width, 256)
+                else:
+                    self.reference = cells[at + found]
+                    at, width = at + found + 1, 1
+            return score, kept, beat
+        if self.method == "background":
+            score = np.array([self._learned(np.asarray(s if s is not None else [], np.float64)) for s in signal])
+        else:
+            score = np.array([s if s is not None else 0.0 for s in signal], np.float64) if not isinstance(signal, np.ndarray) else np.nan_to_num(signal, nan=0.0)
+        self._walk(t, score, kept, beat)
+        return score, kept, beat
+
+    def _walk(self, t: np.ndarray, score: np.ndarray, kept: np.ndarray, beat: np.ndarray, most: int | None = None) -> int | None:
+        """Marks the kept frames, jumping from one to the next; with ``most`` it stops after as many. Gives the last one marked."""
+        moved = np.nonzero(score >= self.min_fraction)[0] if self.enabled else np.arange(len(t))
+        i, last, done = 0, None, 0
+        while i < len(t) and (most is None or done < most):
+            m = np.searchsorted(moved, i)
+            motion = int(moved[m]) if m < len(moved) else len(t)
+            first = self.last is None
+            due = i + self._due(t[i:])
+            i = min(motion, due)
+            if i == len(t):
+                break
+            kept[i], beat[i] = True, self.enabled and not first and i != motion
+            self.last, last, done, i = float(t[i]), i, done + 1, i + 1
+        return last
 
 
 def motion_gate(frames: DataFrame, key: str, t: str, signal: str, tie: str, **settings) -> DataFrame:
     """``(key, t, signal, tie, score, kept, by_heartbeat)`` for the frames of each video in order of ``t`` (ties: ``tie``).
 
     ``signal`` is the motion score itself (``method="score"``) or the frame's cells (``"diff"``: against the last kept frame,
-    ``"background"``: against a running background). One pass per video; a null time takes no part.
+    ``"background"``: against an adaptive mixture of Gaussians). One pass per video; a null time takes no part.
     """
     Gate(**settings)
+    plain = settings.get("method", "score") == "score"
     rows = frames.where(F.col(t).isNotNull() & F.col(key).isNotNull())
-    columns = [t, signal, tie]
-    return ordered_pass(rows, [key], [F.asc(t), F.asc(tie)], columns, lambda: Gate(**settings), lambda gate, at, value, _: gate.frame(at, value), "score double, kept boolean, by_heartbeat boolean")
+
+    def walk(gate: Gate, at, value, _):
+        at = at.to_numpy(zero_copy_only=False).astype(np.float64)
+        if plain:
+            return list(gate.run(at, value.to_numpy(zero_copy_only=False).astype(np.float64)))
+        values = value.values.to_numpy(zero_copy_only=False)
+        cuts = value.offsets.to_numpy()
+        return list(gate.run(at, [values[a:b] for a, b in zip(cuts[:-1], cuts[1:])]))
+
+    return ordered_pass(rows, [key], [F.asc(t), F.asc(tie)], [t, signal, tie], lambda: Gate(**settings), walk, "score double, kept boolean, by_heartbeat boolean")
 
 
 def gate_stats(gated: DataFrame, by: list[str] | None = None) -> DataFrame:

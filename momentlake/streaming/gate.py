@@ -1,8 +1,9 @@
-"""The motion gate of a live stream: the same state machine as in batch, kept per video (Structured Streaming)."""
+"""The motion gate of a live stream: the same state machine as in batch, kept per video (Structured Streaming).
+
+State holds the time of the last kept frame, the frame others are compared with, and the background model."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from momentlake.operators.gate import Gate
+from momentlake.operators.gate import Gate, Mixture
 
 OUTPUT = "video_id string, t double, frame_idx long, score double, kept boolean, by_heartbeat boolean"
 
@@ -22,30 +23,38 @@ class GateProcessor(StatefulProcessor):
         self.settings = settings
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("gate", "last double, newest double, reference string")
+        self.state = handle.getValueState("gate", "last double, newest double, reference binary, model binary")
+
+    def _restored(self) -> tuple[Gate, float]:
+        gate = Gate(**self.settings)
+        if not self.state.exists():
+            return gate, -np.inf
+        gate.last, newest, reference, model = self.state.get()
+        if reference is not None:
+            gate.reference = np.frombuffer(bytes(reference), np.float64)
+        if model is not None:
+            gate.mixture = Mixture(0, history=gate.history)
+            gate.mixture.restore(bytes(model))
+        return gate, newest
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         frames = pd.concat(list(rows)).sort_values(["t", "frame_idx"])  # a key's rows can come in several pieces
-        gate, newest = Gate(**self.settings), -np.inf
-        if self.state.exists():
-            last, newest, reference = self.state.get()
-            gate.last = last
-            gate.reference = np.array(json.loads(reference)) if reference else None
-        out = []
-        for t, idx, signal in zip(frames["t"], frames["frame_idx"], frames["signal"]):
-            if t < newest:
-                continue
-            newest = t
-            out.append((key[0], float(t), int(idx), *gate.frame(float(t), signal)))
-        self.state.update((gate.last, float(newest), json.dumps(gate.reference.tolist()) if gate.reference is not None else None))
-        yield pd.DataFrame(out, columns=["video_id", "t", "frame_idx", "score", "kept", "by_heartbeat"])
+        gate, newest = self._restored()
+        frames = frames[frames["t"] >= newest]
+        t = frames["t"].to_numpy(np.float64)
+        signal = frames["signal"].to_numpy()
+        score, kept, beat = gate.run(t, signal.astype(np.float64) if gate.method == "score" else list(signal))
+        newest = float(t[-1]) if len(t) else newest
+        held = (gate.reference.tobytes() if gate.reference is not None else None, gate.mixture.to_bytes() if gate.mixture is not None else None)
+        self.state.update((gate.last, newest, *held))
+        yield pd.DataFrame({"video_id": key[0], "t": t, "frame_idx": frames["frame_idx"].to_numpy(np.int64), "score": score, "kept": kept, "by_heartbeat": beat})
 
     def close(self) -> None:
         pass
 
 
 def gate_stream(frames: DataFrame, **settings) -> DataFrame:
-    """A stream ``(video_id, t, frame_idx, signal)`` through the gate (methods ``score`` and ``diff``). Needs the RocksDB state store."""
+    """A stream ``(video_id, t, frame_idx, signal)`` through the gate, by any of its methods. Needs the RocksDB state store."""
     return frames.groupBy("video_id").transformWithStateInPandas(GateProcessor(settings), OUTPUT, "Append", "None")
 
 

@@ -60,6 +60,89 @@ def test_empty(spark):
     assert stats.frames_seen == 0 and stats.skip_ratio == 0
 
 
+def rule(times, scores, least, heartbeat):
+    """What the gate keeps, frame by frame."""
+    out, last = [], None
+    for t, s in zip(times, scores):
+        why = "first" if last is None else "motion" if s >= least else "beat" if t - last >= heartbeat else ""
+        last = t if why else last
+        out.append(why)
+    return out
+
+
+@pytest.mark.parametrize("heartbeat", [0.3, 2.0, 1e9])
+def test_gate_in_pieces_equals_the_rule(heartbeat):
+    rng = np.random.default_rng(5)
+    t = np.sort(np.round(rng.uniform(0, 60, 300), 1))
+    s = rng.random(300)
+    want = rule(t, s, 0.95, heartbeat)
+    for cuts in ([], [1, 2, 150, 299], list(range(1, 300))):
+        g = gate.Gate(method="score", min_fraction=0.95, heartbeat=heartbeat)
+        got = [g.run(a, b) for a, b in zip(np.split(t, cuts), np.split(s, cuts))]
+        kept, beat = np.concatenate([x[1] for x in got]), np.concatenate([x[2] for x in got])
+        assert [bool(w) for w in want] == kept.tolist() and [w == "beat" for w in want] == beat.tolist()
+
+
+def test_difference_in_pieces_equals_one_pass():
+    rng = np.random.default_rng(6)
+    cells = list(np.cumsum(rng.normal(0, 9, (200, 30)), 0))
+    t = np.arange(200) / 2
+    whole = gate.Gate(method="diff", min_fraction=0.4, heartbeat=7.0).run(t, cells)
+    reference, scores, last = None, [], None
+    for at, c in zip(t, cells):
+        s = 1.0 if reference is None else np.mean(np.abs(c - reference) > 25)
+        scores.append(s)
+        if last is None or s >= 0.4 or at - last >= 7:
+            reference, last = c, at
+    assert np.allclose(whole[0], scores) and 1 < whole[1].sum() < 200
+    g = gate.Gate(method="diff", min_fraction=0.4, heartbeat=7.0)
+    parts = [g.run(t[i : i + 13], cells[i : i + 13]) for i in range(0, 200, 13)]
+    assert all(np.array_equal(np.concatenate([p[k] for p in parts]), whole[k]) for k in range(3))
+
+
+def one_cell(values, history=50, spread=32.0):
+    """The mixture for a single cell, mode by mode."""
+    modes, out = [], []
+    for n, x in enumerate(values, 1):
+        rate = 1 / min(2 * n, history)
+        ahead, seen, fit, after = 0.0, False, False, []
+        for w, m, v in modes:
+            w = (1 - rate) * w - rate * 0.05
+            d = (x - m) ** 2
+            if not fit:
+                seen |= ahead < 0.9 and d < spread * v
+                if d < 9 * v:
+                    fit = True
+                    w += rate
+                    m, v = m + rate / w * (x - m), min(75.0, max(4.0, v + rate / w * (d - v)))
+            if w >= rate * 0.05:
+                ahead += w
+                after.append((w, m, v))
+        total = sum(w for w, *_ in after)
+        after = sorted([(w / total, m, v) for w, m, v in after], key=lambda a: -a[0])
+        if not fit:
+            after = after[:4]
+            after = [((1 - rate) * w, m, v) for w, m, v in after] + [(rate if after else 1.0, x, 15.0)]
+            total = sum(w for w, *_ in after)
+            after = sorted([(w / total, m, v) for w, m, v in after], key=lambda a: -a[0])
+        modes = after
+        out.append(not seen)
+    return out
+
+
+def test_mixture_equals_the_rule_per_cell():
+    rng = np.random.default_rng(7)
+    level = rng.choice([30.0, 90.0, 150.0, 220.0, 20.0, 60.0], (120, 40), p=[0.5, 0.3, 0.05, 0.05, 0.05, 0.05])
+    frames = level + rng.normal(0, 2, level.shape)
+    model = gate.Mixture(40)
+    got = np.array([model.foreground(f) for f in frames])
+    assert np.array_equal(got, np.array([one_cell(c) for c in frames.T]).T)
+    assert got[0].all() and 0 < got[60:].mean() < 0.5
+    again = gate.Mixture(0)
+    again.restore(model.to_bytes())
+    assert np.array_equal(again.foreground(frames[3]), model.foreground(frames[3]))
+
+
 def test_background_learns(spark):
     rng = np.random.default_rng(2)
     frames = [(i / 2, 90 + rng.normal(0, 2, 300)) for i in range(30)]
