@@ -21,3 +21,14 @@ def exact_round(c: Column, digits: int) -> Column:
     part = product - base
     up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & (base % 2 == 1))))
     return F.signum(c) * (base + up.cast("double")) / ten
+
+
+def rounded(column: str, digits: int) -> str:
+    """``exact_round`` of a column given by name, as SQL text: one expression to parse instead of some forty calls to the JVM."""
+    ten, x = float(10**digits), f"abs(`{column}`)"
+    product, base = f"({x} * {ten}D)", f"CAST(floor({x} * {ten}D) AS double)"
+    high = f"({x} * 134217729D - ({x} * 134217729D - {x}))"
+    error = f"(({high} * {ten}D - {product}) + ({x} - {high}) * {ten}D)"
+    part = f"({product} - {base})"
+    up = f"({part} > 0.5D OR ({part} = 0.5D AND ({error} > 0D OR ({error} = 0D AND {base} % 2 = 1))))"
+    return f"signum(`{column}`) * ({base} + CAST({up} AS double)) / {ten}D"

@@ -100,25 +100,43 @@ class Engine:
         self.encoder = encoder or HashEncoder(self.config["index"]["dim"])
 
     def search(self, query: str | list[float], *, top_k: int | None = None, video_ids: list[str] | None = None, use_crops: bool | None = None, merge_seconds: float | None = None, verifier: Callable | None = None) -> DataFrame:
-        """Hits, best first: filter, score, best per timestamp, merge, limit, enrich, optional second stage.
+        """Hits, best first: filter, score, best per timestamp, merge, limit, names, optional second stage.
 
-        The filters come before scoring, so they reach the scan; the result is the same, as scoring is exact.
+        The filters come before scoring, so they reach the scan; the result is the same, as scoring is exact. An item's other
+        columns travel with its score, which spares a second scan; the vector does not. There is one exchange of scored rows,
+        one of hits, and the limit.
         """
         s = self.config["search"]
         vector = self.encoder.encode([query])[0] if isinstance(query, str) else np.asarray(query, np.float64)
-        crops = s["use_crops"] if use_crops is None else use_crops
-        rows = ranking.of_kinds(self.items, None if crops else ("frame",), video_ids)
-        scored = vectors.score(rows.select(F.col("id").alias("item_id"), "video_id", "t", "emb"), "emb", vector, metric=self.config["index"]["metric"])
-        scored = scored.select("item_id", "video_id", "t", F.col("score")[0].alias("score"))
-        merged = ranking.merge_hits(ranking.best_per_timestamp(scored), s["merge_seconds"] if merge_seconds is None else merge_seconds, top_k or s["top_k"])
-        extra = [c for c in ("kind", "label", "x1", "y1", "x2", "y2", "thumb", "frame_idx") if c in self.items.columns]
-        hits = ranking.enrich(merged, self.items.select("id", *extra))
+        scored, extra = self._scored(vector, video_ids, use_crops)
+        k = ranking.wanted(top_k or s["top_k"])
+        hits = ranking.moments(scored.selectExpr("*", "scores[0] AS score"), s["merge_seconds"] if merge_seconds is None else merge_seconds, k, extra)
+        order = [F.desc("score"), F.asc("item_id")]
         if self.videos is not None:
             hits = ranking.name_videos(hits, self.videos)
+            hits = hits.repartition(1).sortWithinPartitions(*order) if k else hits.orderBy(*order)  # k rows in one place
         if verifier is not None:
-            hits = ranking.numbered(hits, [F.desc("score"), F.asc("item_id")])
-            return ranking.rerank(verified(hits, verifier), self.config["verify"]["weight"])
-        return hits.orderBy(F.desc("score"), F.asc("item_id"))
+            return ranking.rerank(verified(ranking.numbered(hits, order), verifier), self.config["verify"]["weight"])
+        return hits
+
+    def search_many(self, queries: list[str] | np.ndarray, *, top_k: int | None = None, video_ids: list[str] | None = None, use_crops: bool | None = None, merge_seconds: float | None = None) -> DataFrame:
+        """``search`` for a batch of queries in one job: hits with ``query`` (place in the batch, from 0) and ``rank``.
+
+        The items are scanned and scored once for all queries, a matrix product per Arrow batch; the scores of the queries are
+        then told apart by a further key.
+        """
+        s = self.config["search"]
+        vectors_in = self.encoder.encode(queries) if len(queries) and isinstance(queries[0], str) else np.asarray(queries, np.float64)
+        scored, extra = self._scored(vectors_in, video_ids, use_crops)
+        rows = scored.selectExpr("item_id", "video_id", "t", *(f"`{c}`" for c in extra), "posexplode(scores) AS (query, score)")
+        return ranking.moments(rows, s["merge_seconds"] if merge_seconds is None else merge_seconds, ranking.wanted(top_k or s["top_k"]), extra, "query")
+
+    def _scored(self, wanted: np.ndarray, video_ids: list[str] | None, use_crops: bool | None) -> tuple[DataFrame, tuple[str, ...]]:
+        crops = self.config["search"]["use_crops"] if use_crops is None else use_crops
+        rows = ranking.of_kinds(self.items, None if crops else ("frame",), video_ids)
+        extra = tuple(c for c in ("kind", "label", "x1", "y1", "x2", "y2", "thumb", "frame_idx") if c in self.items.columns)
+        columns = rows.selectExpr("id AS item_id", "video_id", "t", *(f"`{c}`" for c in extra), "emb")
+        return vectors.score(columns, "emb", wanted, metric=self.config["index"]["metric"], out="scores"), extra
 
     def gated(self, frames: DataFrame, signal: str) -> DataFrame:
         """The frames ``(video_id, t, frame_idx, signal)`` the motion gate keeps."""
