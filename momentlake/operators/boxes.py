@@ -1,14 +1,16 @@
-"""Detection boxes: geometry, suppression and agreement, all as JVM expressions.
+"""Detection boxes: geometry as JVM expressions, suppression and agreement as passes over Arrow batches of many frames.
 
-A box is ``struct<cls:int, conf:double, x1, y1, x2, y2>``; a frame's boxes form an array, which is bounded by what a
-detector gives for one frame.
+A frame's boxes are bounded by what a detector gives for one frame.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from momentlake.operators.ordered import whole_groups
 from momentlake.schema import CLASS_NAMES
 
 
@@ -81,12 +83,42 @@ def decode(preds: DataFrame, *, conf: float, classes: list[int] | None = None) -
     )
 
 
+def _overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``iou`` of rows (x1, y1, x2, y2) pair by pair; not a number where a coordinate is missing."""
+    w = np.maximum(0, np.minimum(a[:, 2], b[:, 2]) - np.maximum(a[:, 0], b[:, 0]))
+    h = np.maximum(0, np.minimum(a[:, 3], b[:, 3]) - np.maximum(a[:, 1], b[:, 1]))
+    both = w * h
+    union = (a[:, 2] - a[:, 0]) * (a[:, 3] - a[:, 1]) + (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1]) - both
+    return np.divide(both, union, out=np.where(np.isnan(union), np.nan, 0.0), where=~(np.isnan(union) | (union == 0)))
+
+
+def _corners(t: pa.Table) -> np.ndarray:
+    return np.stack([t.column(c).to_numpy().astype(np.float64) for c in ("x1", "y1", "x2", "y2")], axis=1)
+
+
 def suppress(boxes: DataFrame, frame: list[str], threshold: float = 0.5) -> DataFrame:
-    """Greedy suppression per frame and class: by falling confidence (ties: ``pos``), a box stays unless its overlap with one that stayed exceeds ``threshold``."""
-    box = F.struct((-F.col("conf")).alias("order"), "pos", "conf", "x1", "y1", "x2", "y2")
-    grouped = boxes.groupBy(*frame, "cls").agg(F.array_sort(F.collect_list(box)).alias("all"))
-    kept = F.aggregate("all", F.slice("all", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda y: iou(x, y) > threshold), acc).otherwise(F.concat(acc, F.array(x))))
-    return grouped.select(*frame, "cls", F.explode(kept).alias("b")).select(*frame, "cls", "b.pos", "b.conf", "b.x1", "b.y1", "b.x2", "b.y2")
+    """Greedy suppression per frame and class: by falling confidence (ties: ``pos``), a box stays unless its overlap with one that stayed exceeds ``threshold``.
+
+    The frames of an Arrow batch are worked on together: in each round the best box left of every frame and class stays and
+    takes out what it overlaps. A box with a missing coordinate overlaps none; a missing confidence comes last.
+    """
+    names = [*frame, "cls", "pos", "conf", "x1", "y1", "x2", "y2"]
+    kinds = {f.name: f.dataType.simpleString() for f in boxes.schema}
+    ordered = boxes.select(*names).repartition(*frame).sortWithinPartitions(*frame, "cls", F.desc("conf"), "pos")
+
+    def run(batches):
+        for t, cuts in whole_groups(batches, [*frame, "cls"]):
+            corners, stays = _corners(t), np.zeros(t.num_rows, bool)
+            left = np.arange(t.num_rows)
+            group = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+            while len(left):
+                first = np.nonzero(np.r_[True, group[left[1:]] != group[left[:-1]]])[0]
+                stays[left[first]] = True
+                best = np.repeat(left[first], np.diff(np.r_[first, len(left)]))
+                left = left[(left != best) & ~(_overlap(corners[left], corners[best]) > threshold)]
+            yield from t.filter(pa.array(stays)).combine_chunks().to_batches()
+
+    return ordered.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names))
 
 
 def clip(boxes: DataFrame, width: Column, height: Column, min_px: int = 0) -> DataFrame:
@@ -105,16 +137,39 @@ def agreement(a: DataFrame, b: DataFrame, frame: list[str], threshold: float = 0
     Per frame, the boxes of ``a`` in order (falling confidence, ``pos``) each take the unused box of ``b`` of their class with
     the highest overlap (the first on ties), if that reaches ``threshold``.
     """
-    box = lambda: F.struct((-F.col("conf")).alias("order"), "pos", "cls", "x1", "y1", "x2", "y2")
-    sides = a.groupBy(*frame).agg(F.array_sort(F.collect_list(box())).alias("a")).join(b.groupBy(*frame).agg(F.array_sort(F.collect_list(box())).alias("b")), frame, "full")
-    empty = F.array().cast("array<int>")
-
-    def take(used: Column, x: Column) -> Column:
-        rated = F.transform("b", lambda y, j: F.struct(F.when(y["cls"] == x["cls"], iou(x, y)).otherwise(-1.0).alias("overlap"), (-j).alias("first")))
-        best = F.array_max(F.filter(rated, lambda r: ~F.array_contains(used, -r["first"])))
-        return F.when(F.coalesce(best["overlap"] >= threshold, F.lit(False)), F.concat(used, F.array((-best["first"]).cast("int")))).otherwise(used)
-
-    per_frame = sides.select(F.size(F.aggregate(F.coalesce("a", F.slice("b", 1, 0)), empty, take)).alias("tp"), F.coalesce(F.size("a"), F.lit(0)).alias("na"), F.coalesce(F.size("b"), F.lit(0)).alias("nb"))
-    per_frame = per_frame.select(F.greatest("tp", F.lit(0)).alias("tp"), F.greatest("na", F.lit(0)).alias("na"), F.greatest("nb", F.lit(0)).alias("nb"))
+    columns = [*frame, "cls", "conf", "pos", "x1", "y1", "x2", "y2"]
+    kinds = {f.name: f.dataType.simpleString() for f in a.schema}
+    side = lambda df, number: df.selectExpr(*(f"CAST(`{c}` AS {kinds[c]}) AS `{c}`" for c in columns), f"{number} AS side")
+    rows = side(a, 0).unionByName(side(b, 1)).repartition(*frame).sortWithinPartitions(*frame, "side", F.desc("conf"), "pos")
+
+    def run(batches):
+        for t, cuts in whole_groups(batches, frame):
+            corners, right = _corners(t), t.column("side").to_numpy() == 1
+            cls = t.column("cls").to_numpy(zero_copy_only=False)
+            nb = np.add.reduceat(right.astype(np.int64), cuts[:-1])
+            na = np.diff(cuts) - nb
+            # every pair of a frame once, those that count in the order in which they are tried
+            per = np.repeat(nb, na)
+            x = np.repeat(np.nonzero(~right)[0], per)
+            start = np.repeat(np.repeat(cuts[:-1] + na, na), per)
+            y = start + np.arange(len(x)) - np.repeat(np.cumsum(per) - per, per)
+            same = cls[x] == cls[y]
+            x, y = x[same], y[same]
+            rated = _overlap(corners[x], corners[y])
+            enough = rated >= threshold
+            x, y, rated = x[enough], y[enough], rated[enough]
+            order = np.lexsort((y, -rated, x))
+            x, y = x[order], y[order]
+            used, matched = np.zeros(t.num_rows, bool), 0
+            turn = x - np.repeat(cuts[:-1], np.diff(cuts))[x] if len(x) else x
+            for k in np.unique(turn):  # the k-th box of every frame at once
+                mine = (turn == k) & ~used[y]
+                own, nearest = x[mine], y[mine]
+                first = np.r_[True, own[1:] != own[:-1]] if len(own) else np.zeros(0, bool)
+                used[nearest[first]] = True
+                matched += int(first.sum())
+            yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in (matched, int(na.sum()), int(nb.sum()))], ["tp", "na", "nb"])
+
+    per_frame = rows.mapInArrow(run, "tp long, na long, nb long")
     total = per_frame.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "na", "nb")))
     return total.select("tp", "na", "nb", F.round(F.try_divide("tp", "na"), 4).alias("recall"), F.round(F.try_divide("tp", "nb"), 4).alias("precision"))
