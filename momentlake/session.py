@@ -8,11 +8,15 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, and only where that is unset (tests on one machine) a temporary one."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a temporary one on a single machine (tests); a cluster has no such folder, so there it is an error."""
     context = spark.sparkContext
     set_dir = context._jsc.sc().getCheckpointDir()
     if set_dir.isDefined():
         return set_dir.get()
-    folder = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir", "")
+    if not folder:
+        if not context.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoint-")
     context.setCheckpointDir(folder)
     return context._jsc.sc().getCheckpointDir().get()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from momentlake.session import shared_folder
+
 
 def upsert_videos(old: DataFrame, new: DataFrame) -> DataFrame:
     """``old`` with the rows of ``new`` inserted or overwritten by id; a null ``proxy_path`` or ``stats_json`` keeps the old value.
@@ -41,12 +43,13 @@ def append_items(items: DataFrame, new: DataFrame, last_id: int) -> DataFrame:
     """``items`` and ``new`` with ids from ``last_id + 1`` on in order of video, frame and ``pos`` (frame first, crops by falling confidence).
 
     ``last_id`` is the highest id ever given (kept by the caller, so ids are not used again). The numbers come from counts
-    per partition of a range-sorted table, not from one task that sees every row.
+    per partition of a range-sorted table, not from one task that sees every row. The sorted rows are checkpointed: their
+    positions are read twice and must be the same both times.
     """
-    spark = new.sparkSession
+    shared_folder(new.sparkSession)
     order = new.withColumn("kind_order", (F.col("kind") != "frame").cast("int")).repartitionByRange("video_id", "frame_idx").sortWithinPartitions("video_id", "frame_idx", "kind_order", F.desc("conf"))
     rows = order.withColumn("m", F.monotonically_increasing_id()).withColumn("part", F.shiftright("m", 33)).withColumn("nth", F.col("m").bitwiseAND(F.lit((1 << 33) - 1)))
-    rows = rows.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else rows
+    rows = rows.checkpoint()
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("part").agg(F.count("*").alias("c")).withColumn("start", F.coalesce(F.sum("c").over(before), F.lit(0))).select("part", "start")
     named = rows.join(starts, "part").withColumn("id", F.col("start") + F.col("nth") + 1 + last_id)

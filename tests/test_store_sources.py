@@ -56,11 +56,17 @@ def test_audit_round_trip(spark, tmp_path):
     raw = [json.loads(r.value) for r in spark.read.text(path).collect()]
     assert sum("host" in r for r in raw) == 2
     log = audit.read_audit(spark, path)
-    assert sorted(r.query for r in log.collect()) == ["q0", "q1", "q2"] and log.where("n_results = 2").first().videos == ["a"]
+    assert [r.query for r in log.collect()] == ["q0", "q1", "q2"] and log.where("n_results = 2").first().videos == ["a"]
     assert audit.read_audit(spark, str(tmp_path / "none")).count() == 0
     assert {r["n_results"] for r in raw} == {0, 1, 2}
     audit.write_audit(audit.audit_record(spark, time="t", os_user="me", query="old", videos=[], n_results=0, verify=True, extra={"query": "new"}), str(tmp_path / "over"))
     assert json.loads(spark.read.text(str(tmp_path / "over")).first().value)["query"] == "new"
+    uneven = str(tmp_path / "uneven")  # the largest append in the middle, in several files
+    for first, n, files in ((0, 3, 1), (3, 400, 3), (403, 1, 1)):
+        rows = spark.range(first, first + n, 1, files).selectExpr("'t' AS time", "'me' AS os_user", "concat('q', id) AS query", "array('v') AS videos", "CAST(id AS int) AS n_results", "false AS verify")
+        audit.write_audit(rows, uneven)
+    assert [r.n_results for r in audit.read_audit(spark, uneven).collect()] == list(range(404))
+    assert [r.n_results for r in audit.read_audit(spark, uneven, 1).collect()] == [403] and [r.n_results for r in audit.read_audit(spark, uneven, 150).collect()] == list(range(254, 404))
     one = tmp_path / "one.jsonl"
     one.write_text('{"query": "x"}\n\n{"query": "y"}\n')
     assert [r.query for r in audit.read_audit(spark, str(one), 1).collect()] == ["y"] and [r.query for r in audit.read_audit(spark, str(one), 2).collect()] == ["y"]
