@@ -63,7 +63,15 @@ def test_pixels():
     image[:, 80:] = 200
     assert np.allclose(pixels.resized(image, 160, 120), image) and pixels.resized(image, 80, 60).mean() == pytest.approx(100)
     assert pixels.motion_cells(image, 80).shape == (60 * 80,) and pixels.motion_cells(np.full((60, 80, 3), 90.0), 80).std() < 1e-9
-    assert pixels.encoder_input(image).shape == (3, 224, 224)
+    levels = pixels.motion_cells(np.random.default_rng(0).integers(0, 256, (60, 90, 3)), 40)
+    assert np.array_equal(levels, np.rint(levels)) and 0 <= levels.min() and levels.max() <= 255
+    out = pixels.encoder_input(image)
+    assert out.shape == (3, 224, 224) and out.dtype == np.float32
+    plain = (np.full(3, 0.0) - pixels.MEAN) / pixels.STD, (np.full(3, 200 / 255) - pixels.MEAN) / pixels.STD
+    assert np.allclose(out[:, 0, 0], plain[0], atol=1e-5) and np.allclose(out[:, 100, 223], plain[1], atol=1e-5)  # dark to the left, light to the right
+    ramp = np.repeat(np.arange(50.0)[:, None, None], 3, 2) * np.ones((1, 40, 1))  # cubic enlarging: as many rows on, one level more
+    wide = pixels.resized(ramp, 80, 100)[4:-4, 0, 0]
+    assert np.allclose(wide[2:] - wide[:-2], 1) and (np.diff(wide) > 0).all() and np.allclose(pixels._weights(7, 31).sum(1), 1)
     cut = pixels.square_pixels(image, 50, -10, 100)
     assert cut.shape == (50, 50, 3) and tuple(cut[0, 0]) == (124, 116, 104) and tuple(cut[0, 10]) == (0, 0, 0)
 
