@@ -13,8 +13,8 @@ one without any trusted record, gives an empty result; other columns are ignored
 
 from __future__ import annotations
 
-import math
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,121 +25,199 @@ from pyspark.sql import functions as F
 from momentlake.llm.text import rendered
 from momentlake.session import shared_folder
 
-TABLE = 1 << 18
+BITS = 18
+TABLE = 1 << BITS
 #: Passages with a placeholder are slots (residue) or explain it; the others are messages or fillers (residue) or notes.
 CLASSES = ("slot", "explained", "message", "note")
 FEATURE_SCHEMA = "doc_id long, features array<int>, lengths array<int>, role array<tinyint>, placeholder array<tinyint>, trusted array<boolean>"
 
-# Notations in which templates mark a place for a value; the strict ones hardly occur in notes otherwise.
+# Notations in which templates mark a place for a value, each with texts of which one must occur; the strict ones hardly occur in notes otherwise.
 STRICT_STYLES = {
-    "triple": r"\{\{\{[^{}\n]{1,40}\}\}\}",
-    "erb": r"<%=?[^%\n]{1,40}%>",
-    "block": r"\{%[^%\n]{1,40}%\}",
-    "format": r"%\([^()\n]{1,40}\)[a-z]",
-    "percent": r"%[A-Za-z][\w.\-]{1,40}%",
-    "dollars": r"\$[A-Za-z][\w.\-]{1,40}\$",
-    "dollar": r"\$\{[^{}\n]{1,40}\}",
-    "squares": r"\[\[[^\[\]\n]{1,40}\]\]",
-    "angles": r"<<[^<>\n]{1,40}>>",
-    "ats": r"@@[^@\n]{1,40}@@",
-    "under": r"__[A-Za-z]\w{1,40}?__",
-    "hash": r"#[A-Za-z][\w.\-]{1,40}#",
-    "insert": r"(?i)\[(?:insert|tbd|todo|tbc|enter|\.\.\.|escriba|hier|यहाँ)[^\[\]\n]{0,40}\]|\[[^\[\]\n]{1,40}(?:eintragen|einfügen|लिखें|aquí|here)\]",
-    "your": r"(?i)\(your [^()\n]{1,40} here\)",
-    "object": r"(?i)\[object \w+\]",
-    "cell": r"#(?:REF!|N/A|NAME\?|VALUE!|DIV/0!|NULL!)",
-    "mask": r"\bX{1,4}:XX(?::XX)?\b|\bNaN:NaN\b",
+    "triple": (r"\{\{\{[^{}\n]+\}\}\}", ("{{{",)),
+    "erb": (r"<%=?[^%\n]+%>", ("<%",)),
+    "block": (r"\{%[^%\n]+%\}", ("{%",)),
+    "format": (r"%\([^()\n]+\)[a-z]", ("%(",)),
+    "percent": (r"%[A-Za-z][\w.\-]+%", ("%",)),
+    "dollars": (r"\$[A-Za-z][\w.\-]+\$", ("$",)),
+    "dollar": (r"\$\{[^{}\n]+\}", ("${",)),
+    "squares": (r"\[\[[^\[\]\n]+\]\]", ("[[",)),
+    "angles": (r"<<[^<>\n]+>>", ("<<",)),
+    "ats": (r"@@[^@\n]+@@", ("@@",)),
+    "under": (r"__[A-Za-z](?:_?[^\W_])*__", ("__",)),
+    "hash": (r"#[A-Za-z][\w.\-]+#", ("#",)),
+    "insert": (r"(?i)\[(?:insert|tbd|todo|tbc|enter|\.\.\.|escriba|hier|यहाँ)[^\[\]\n]*\]|\[[^\[\]\n]+(?:eintragen|einfügen|लिखें|aquí|here)\]", ("[",)),
+    "your": (r"(?i)\(your [^()\n]+ here\)", ("(",)),
+    "object": (r"(?i)\[object \w+\]", ("[",)),
+    "cell": (r"#(?:REF!|N/A|NAME\?|VALUE!|DIV/0!|NULL!)", ("#",)),
+    "mask": (r"\bX{1,4}:XX(?::XX)?\b|\bNaN:NaN\b", ("X:XX", "NaN:")),
 }
 LOOSE_STYLES = {
-    "double": r"\{\{[^{}\n]{1,40}\}\}",
-    "brace": r"\{[A-Za-z][\w.\- ]{0,40}\}|\{\d{1,2}\}",
-    "angle": r"<[A-Za-z][\w.\- ]{1,40}>",
-    "nothing": r"\b(?:undefined|NaN|None|Invalid Date|null)\b",
+    "double": (r"\{\{[^{}\n]+\}\}", ("{{",)),
+    "brace": (r"\{[A-Za-z][\w.\- ]*\}|\{\d{1,2}\}", ("{",)),
+    "angle": (r"<[A-Za-z][\w.\- ]+>", ("<",)),
+    "nothing": (r"\b(?:undefined|NaN|None|Invalid Date|null)\b", ("undefined", "NaN", "None", "Invalid", "null")),
 }
-# Beginnings of stock messages and fillers, in the languages of the corpus.
-STOCK = re.compile(
-    r"(?i)^(?:(?:error |http )?(?:40[0134]|410|429|50[0234])\b[ :-]*(?:$|not found|forbidden|unauthorized|bad|gone|too many|internal server|service unavailable|gateway)|http [45]\d\d"
-    r"|page not found|not found|access denied|permission denied|forbidden|unauthorized|gateway time-?out|service unavailable|gone\b|bad gateway|internal (?:server )?(?:error|failure)|service unavailable|connection (?:reset|refused|timed out)|too many requests|oops"
-    r"|\W*error\W+code\W+\d{3}|\w{1,60}(?:\.\w{1,60}){1,12}(?:exception|error)\b|database is locked|cookies and (?:java)?scripts (?:are|must)|unable to (?:load|show|open|display|see)\b.*(?:missing|blocked|disabled)"
-    r"|(?:the|this|your) \w+(?: \w+){0,3} (?:is (?:temporarily )?(?:unavailable|offline|blocked|locked)|has expired|does not exist any ?more|could not be (?:loaded|reached|found)|ran into an unexpected error)[.!]?$"
-    r"|(?:enable|allow|activate|turn on|switch on) (?:javascript|cookies|scripts|client-side code|active content)|für diese (?:ansicht|seite) m(?:ü|ue)ssen|die seite konnte nicht"
-    r"|too many (?:searches|requests|attempts)|traceback \(most recent call last\)|file \W[^\"']+\W, line \d+|\w+error\b:? ?\W?\w*\W*$|select \w+.* from \w+|scripting (?:is )?disabled"
-    r"|(?:describe|enter|insert|write|type) (?:the|your|a) .{3,60}(?:here|sentences|words)|replace this (?:text|paragraph|line)|delete this (?:hint|line|text)|escriba aquí|geben sie hier|beschreiben sie (?:hier|den)|यहाँ .* लिखें"
-    r"|your browser (?:does not|doesn't) support|we looked everywhere|est[ea] (?:visor|sitio|página|aplicación) (?:necesita|requiere)|.*जावास्क्रिप्ट चालू"
-    r"|something went wrong|your session has (?:ended|expired)|are you a human|please (?:enable|turn on|activate) (?:javascript|cookies|scripts)|this (?:page|site|viewer|app) (?:needs|requires) (?:javascript|scripts|cookies)|javascript is|you need to (?:enable|allow)"
-    r"|lorem ipsum|text goes here|your (?:text|description) (?:goes )?here|placeholder text|caption to follow|item 1 text"
-    r"|seite nicht gefunden|zugriff verweigert|bitte aktivieren sie (?:javascript|cookies)|der dienst ist|blindtext|platzhalter"
-    r"|p[aá]gina no encontrada|acceso denegado|active javascript|el servicio no est[aá]|texto de (?:relleno|ejemplo)"
-    r"|पृष्ठ नहीं मिला|सेवा अभी उपलब्ध नहीं|पहुँच अस्वीकृत|कृपया (?:javascript|जावास्क्रिप्ट))"
+# How unmistakable error messages, notices and fillers begin or end, in the languages of the corpus. A seed: the model finds what else goes with them.
+BEGINS = (
+    "page not found", "not found", "access denied", "permission denied", "forbidden", "unauthorized", "gone", "bad gateway", "gateway time", "service unavailable",
+    "internal server", "internal failure", "too many requests", "too many searches", "connection re", "connection timed out", "database is locked", "something went wrong", "traceback (most recent call last)", "error code", "oops",
+    "http 4", "http 5", "error 4", "error 5", "400 bad", "401 un", "403 f", "404", "410 gone", "429 too", "500 int", "502 bad", "503 serv", "504 gate",
+    "your session has", "are you a human", "we looked everywhere", "unable to load", "unable to show", "unable to open", "unable to display", "unable to see", "enable javascript", "enable cookies", "enable scripts", "allow javascript", "allow cookies",
+    "turn on javascript", "turn on cookies", "turn on scripts", "switch on javascript", "switch on cookies", "switch on scripts", "switch on client-side", "turn on client-side", "please enable", "please allow", "please turn on javascript",
+    "javascript is", "javascript must", "javascript required", "scripting disabled", "scripting is disabled", "scripts are required", "cookies and scripts are", "cookies and javascript", "you need to enable", "you need to allow", "you need javascript", "you need scripts", "you need client-side",
+    "this page needs", "this page requires", "this viewer needs", "this viewer requires", "this site requires", "your browser does not support", "it looks as if javascript", "it looks as if scripts", "it looks as if client-side", "it looks as if cookies",
+    "we cannot load", "we cannot show", "we cannot play", "we cannot open", "we cannot draw",
+    "lorem ipsum", "text goes here", "your text", "your description goes", "placeholder text", "caption to follow", "replace this", "delete this", "describe the", "insert your", "enter your", "write your",
+    "seite nicht gefunden", "zugriff verweigert", "bitte aktivieren sie", "der dienst ist", "die seite konnte nicht", "für diese ansicht müssen", "für diese seite müssen", "blindtext", "platzhalter", "beschreiben sie hier", "geben sie hier",
+    "página no encontrada", "acceso denegado", "active javascript", "este visor necesita", "esta página requiere", "este sitio requiere", "el servicio no est", "texto de relleno", "texto de ejemplo", "escriba aquí",
+    "पृष्ठ नहीं मिला", "सेवा अभी उपलब्ध नहीं", "पहुँच अस्वीकृत", "कृपया javascript", "कृपया जावास्क्रिप्ट",
 )
-_STYLES = [(name, True, re.compile(p)) for name, p in STRICT_STYLES.items()] + [(name, False, re.compile(p)) for name, p in LOOSE_STYLES.items()]
+ENDS = (
+    "is offline", "has expired", "was refused by the gateway", "could not be reached", "could not be loaded", "could not be found", "an unexpected error", "does not exist any more", "no longer exists",
+    "is temporarily unavailable", "is currently unavailable", "missing or blocked", "is turned off", "is locked", "are required", "जावास्क्रिप्ट चालू करें",
+)
+
+
+def _stock(passage: str) -> bool:
+    low = passage[:200].lower()
+    return low.startswith(BEGINS) or (len(passage) < 60 and low.rstrip(" .!।").endswith(ENDS))
+
+
+_STYLES = [(f" ⟦{name}{end}⟧ ", triggers, re.compile(p)) for styles, end in ((STRICT_STYLES, "_strict"), (LOOSE_STYLES, "")) for name, (p, triggers) in styles.items()]
 _RULE = re.compile(r"([^\s\d])\1{9,}")
-_SPLIT = re.compile(r"\n+|(?<=[.!?।])[\"”'’)]*\s+|\s+[|]\s+|(?<=\w)\s+-\s+(?=[\w<\[{%$#@])|(?<=\w):\s+(?=\S)")
-_ENDS = re.compile(r"[.!?।][\"”'’)]*$")
+_SENTENCE = re.compile("|".join(f"{end}[\"”'’)]* " for end in (r"\.", "!", r"\?", "।")) + r"|\|(?<= \|)(?= )|-(?<=\w -)(?= [\w<\[{%$#@])|:(?<=\w:)(?= )")
+_STYLE = re.compile(r"⟦([a-z]\w*)⟧")
 _TOKEN = re.compile(r"⟦\w+⟧|[^\W\d_]+|\d+|[\"“”„«»]")
+_WORD = re.compile(r"[^\W\d_]+")
+_CLOSING = "\"”'’)"
 CONTENT, HEADING, SHORT = 0, 1, 2
 
 
-def _bucket(feature: str) -> int:
-    return xxhash.xxh32_intdigest(feature) & (TABLE - 1)
+class _Hashes(dict):
+    """Token -> 32-bit hash, digits as one sign and placeholders as another; filled as tokens are met."""
+
+    def __missing__(self, token: str) -> int:
+        sign = "#" if token[0].isdigit() else "⟦⟧" if token[0] == "⟦" and token[1] != "_" else token
+        if len(self) > 1 << 20:
+            self.clear()
+        value = self[token] = xxhash.xxh32_intdigest(sign)
+        return value
+
+
+_HASHES = _Hashes()
+_EDGES = [xxhash.xxh32_intdigest(e) for e in ("^", "$")]
+
+
+def _marked(text: str) -> str:
+    """A rendered text with its placeholders, and runs of ten equal characters, as marks."""
+    text = rendered(text, all_tags=False)
+    for c in set(text):
+        if c * 10 in text:
+            text = _RULE.sub(" ⟦_rule⟧ ", text)
+            break
+    for mark, triggers, pattern in _STYLES:
+        for t in triggers:
+            if t in text:
+                text = pattern.sub(mark, text)
+                break
+    return text
 
 
 def passages(text: str) -> list[tuple[str, list[str], int]]:
-    """The passages of a text: wording, placeholder styles (strict ones with a ``!``) and role."""
-    marked = _RULE.sub(" ⟦_rule⟧ ", rendered(text, all_tags=False))
-    for name, strict, pattern in _STYLES:
-        marked = pattern.sub(f" ⟦{name}{'_strict' if strict else ''}⟧ ", marked)
-    parts = []
-    last = 0
-    for m in _SPLIT.finditer(marked):
-        parts.append((marked[last : m.start()].strip(), m.group()))
-        last = m.end()
-    parts.append((marked[last:].strip(), ""))
-    parts = [(p, s) for p, s in parts if re.search(r"\w|⟦", p)]
+    """The passages of a text: wording, placeholder styles (strict ones with a ``_strict``) and role."""
+    parts = []  # wording and what parts it from the next
+    for line in _marked(text).split("\n"):
+        line, last = " ".join(line.split()), 0
+        for m in _SENTENCE.finditer(line):
+            mark = m.group()
+            cut = m.end() if mark[0] in ".!?।" else m.start()
+            parts.append((line[last:cut].strip(), mark))
+            last = m.end()
+        parts.append((line[last:].strip(), "\n"))
+    parts = [(p, gap, _STYLE.findall(p) if "⟦" in p else []) for p, gap in parts if p and ("⟦" in p or p[0].isalnum() or re.search(r"\w", p))]
     out, leading = [], True
-    for i, (p, gap) in enumerate(parts):
-        styles = re.findall(r"⟦([a-z]\w*)⟧", p)
-        bare = not _ENDS.search(p)
-        leading = leading and bare and not STOCK.match(p) and i < min(2, len(parts) - 1) and ("\n" in gap or "|" in gap or gap.strip() in ("-", ":"))
-        out.append((p, styles, HEADING if leading else SHORT if len(re.findall(r"[^\W\d_]+", p)) < 4 and not STOCK.match(p) else CONTENT))
-    if all(role != CONTENT for *_, role in out):  # nothing longer: the short ones are the content, or else the heading
+    for i, (p, gap, styles) in enumerate(parts):
+        stock = None
+        if leading:
+            stock = _stock(p)
+            leading = not stock and p.rstrip(_CLOSING)[-1:] not in ".!?।" and i < min(2, len(parts) - 1) and gap[0] in "\n|-:"
+        short = not leading and len(p) < 80 and len(_WORD.findall(p)) < 4 and not (_stock(p) if stock is None else stock)
+        out.append((p, styles, HEADING if leading else SHORT if short else CONTENT))
+    if all(role != CONTENT for *_, role in out):  # nothing longer: the short ones are the content, or else the heading; of these those with words only, or else with words
         kind = SHORT if any(role == SHORT for *_, role in out) else HEADING
-        wordy = [role == kind and not re.search(r"\d", p) for p, _, role in out]
-        out = [(p, s, CONTENT if w or (role == kind and not any(wordy)) else role) for (p, s, role), w in zip(out, wordy)]
+        worth = [0 if role != kind else 1 if not _WORD.search(p) else 2 if re.search(r"\d", p) else 3 for p, _, role in out]
+        out = [(p, s, CONTENT if w == max(worth) else role) for (p, s, role), w in zip(out, worth)]
     return out
 
 
-def features(passage: str, styles: list[str]) -> list[int]:
-    """Hashed features of a passage, each once: words (digits as one sign), neighbouring pairs and placeholder styles."""
-    tokens = ["#" if t[0].isdigit() else "⟦⟧" if t[0] == "⟦" and t[1] != "_" else t for t in _TOKEN.findall(passage.casefold())]
-    kinds = set(tokens) | {f"{a} {b}" for a, b in zip(["^", *tokens], [*tokens, "$"])} | {f"⟦{s}⟧" for s in styles}
-    return sorted({_bucket(k) for k in kinds})
+def features(tokens: list[list[str]], styles: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of passages (their tokens, their styles): each passage's different ones one after the other, and how many it has.
+
+    Features are words (digits as one sign), neighbouring pairs and placeholder styles, as buckets of the table.
+    """
+    n = len(tokens)
+    sizes = np.fromiter(map(len, tokens), np.int64, n)
+    own = np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(tokens)), np.uint64, int(sizes.sum()))
+    owner = np.repeat(np.arange(n, dtype=np.uint64), sizes)
+    # with an edge before and after each passage, so that first and last words make pairs as well
+    framed = np.empty(len(own) + 2 * n, np.uint64)
+    starts = np.concatenate([[0], np.cumsum(sizes + 2)])
+    framed[starts[:-1]], framed[starts[1:] - 1] = _EDGES
+    inner = np.ones(len(framed), bool)
+    inner[starts[:-1]] = inner[starts[1:] - 1] = False
+    framed[inner] = own
+    pair = np.ones(max(len(framed) - 1, 0), bool)
+    pair[starts[1:-1] - 1] = False
+    left, right = framed[:-1][pair], framed[1:][pair]
+    marks = np.fromiter((xxhash.xxh32_intdigest("style " + x) for s in styles for x in s), np.uint64)
+    marked = np.repeat(np.arange(n, dtype=np.uint64), [len(s) for s in styles])
+
+    def bucket(h: np.ndarray) -> np.ndarray:
+        return (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)
+
+    mixed = left * np.uint64(0x100000001B3) + (right ^ (right << np.uint64(29))) + np.uint64(1)
+    key = np.concatenate([owner << np.uint64(BITS) | bucket(own), np.repeat(np.arange(n, dtype=np.uint64), sizes + 1) << np.uint64(BITS) | bucket(mixed), marked << np.uint64(BITS) | bucket(marks)])
+    key.sort()
+    key = key[np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]])]
+    return (key & np.uint64(TABLE - 1)).astype(np.int32), np.bincount((key >> np.uint64(BITS)).astype(np.int64), minlength=n)
 
 
 def _featured(batches):
     for b in batches:
-        out: dict[str, list] = {k: [] for k in ("doc_id", "features", "lengths", "role", "placeholder", "trusted")}
-        for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            found = passages(text)
-            if not found:
-                continue
-            strict = {s for _, styles, _ in found for s in styles if s.endswith("_strict")}
-            content = [p for p, _, role in found if role == CONTENT]
-            spoken = re.findall(r"[^\W\d_]+", " ".join(content).casefold())
-            droning = len(set(spoken)) <= 8 and len(spoken) >= max(6, 4 * len(set(spoken)))  # a few words over and over
-            known = [bool(STOCK.match(p)) or p == "⟦_rule⟧" for p in content]
-            stock = droning or all(known) or (known[0] and len(known) <= 4 and 2 * sum(known) >= len(known))
-            rows = [features(p, s) for p, s, _ in found]
-            out["doc_id"].append(doc)
-            out["features"].append([f for r in rows for f in r])
-            out["lengths"].append([len(r) for r in rows])
-            out["role"].append([r for *_, r in found])
-            out["placeholder"].append([2 if any(x.endswith("_strict") for x in s) else int(bool(s)) for _, s, _ in found])
-            out["trusted"].append([(stock and role != HEADING) or (len(strict) > 1 and any(s.endswith("_strict") for s in styles)) for _, styles, role in found])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(out["doc_id"], pa.int64()), pa.array(out["features"], pa.list_(pa.int32())), pa.array(out["lengths"], pa.list_(pa.int32())), pa.array(out["role"], pa.list_(pa.int8())), pa.array(out["placeholder"], pa.list_(pa.int8())), pa.array(out["trusted"], pa.list_(pa.bool_()))],
-            list(out),
-        )
+        for at in range(0, b.num_rows, 512):
+            yield _featured_part(b.slice(at, 512))
+
+
+def _featured_part(b: pa.RecordBatch) -> pa.RecordBatch:
+    docs, counts, roles, placeholders, trusted, tokens, marks = [], [], [], [], [], [], []
+    for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        found = passages(text)
+        if not found:
+            continue
+        strict = {s for _, styles, _ in found for s in styles if s.endswith("_strict")}
+        words = [_TOKEN.findall(p.casefold()) for p, *_ in found]
+        spoken = [w for t, (*_, role) in zip(words, found) if role == CONTENT for w in t if w[0].isalpha()]
+        droning = len(spoken) >= 6 and len(set(spoken)) <= 8 and len(spoken) >= 4 * len(set(spoken))  # a few words over and over
+        known = [_stock(p) or p == "⟦_rule⟧" for p, _, role in found if role == CONTENT]
+        stock = droning or all(known) or (known[0] and len(known) <= 4 and 2 * sum(known) >= len(known))
+        docs.append(doc)
+        counts.append(len(found))
+        for (_, styles, role), w in zip(found, words):
+            hard = any(x.endswith("_strict") for x in styles)
+            roles.append(role)
+            placeholders.append(2 if hard else int(bool(styles)))
+            trusted.append((stock and role != HEADING) or (len(strict) > 1 and hard))
+            tokens.append(w)
+            marks.append(styles)
+    f, sizes = features(tokens, marks)
+    cuts = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+    offsets = pa.array(cuts, pa.int32())
+    lists = lambda values, kind: pa.ListArray.from_arrays(offsets, pa.array(values, kind))
+    per_doc = pa.array(np.concatenate([[0], np.cumsum(sizes)])[cuts], pa.int32())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(docs, pa.int64()), pa.ListArray.from_arrays(per_doc, pa.array(f)), lists(sizes, pa.int32()), lists(roles, pa.int8()), lists(placeholders, pa.int8()), lists(trusted, pa.bool_())],
+        ["doc_id", "features", "lengths", "role", "placeholder", "trusted"],
+    )
 
 
 def _flat(b: pa.RecordBatch):
@@ -178,12 +256,38 @@ def _odds(b: pa.RecordBatch, model) -> tuple[np.ndarray, ...]:
     return np.where(ph > 0, slot, message), f, owner, role, ph, trusted, record
 
 
+def weigh(b: pa.RecordBatch, model) -> tuple[np.ndarray, np.ndarray]:
+    """Of a batch, per class the summed posteriors by feature and altogether; without a model yet, the trusted passages against all others."""
+    if model is None:
+        f, owner, _, ph, trusted, _ = _flat(b)
+        bad = np.where(ph == 2, 0.5, 0.0)  # an unmistakable notation, but the only one of its record
+    else:
+        odds, f, owner, _, ph, trusted, _ = _odds(b, model)
+        bad = 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
+    bad[trusted], ph = 1, ph > 0
+    w = np.stack([bad * ph, (1 - bad) * ph, bad * ~ph, (1 - bad) * ~ph])
+    return np.stack([np.bincount(f, x[owner], TABLE) for x in w]), w.sum(1)
+
+
+def decided(b: pa.RecordBatch, model) -> pa.RecordBatch:
+    """The records of a batch that are residue by the model's odds."""
+    odds, _, _, role, ph, _, record = _odds(b, model)
+    residue, content, n = odds > 0, role == CONTENT, b.num_rows
+    total, bad = np.bincount(record[content], minlength=n), np.bincount(record[content & residue], minlength=n)
+    slot = np.bincount(record[(ph > 0) & residue], minlength=n) > 0
+    hit = np.nonzero(slot | (bad == total))[0]
+    return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(hit)), pa.array(total[hit], pa.int32()), pa.array(bad[hit], pa.int32()), pa.array(slot[hit])], ["doc_id", "n_passages", "n_residue", "placeholder"])
+
+
 def residue_documents(df: DataFrame, id_col: str, text_col: str, *, rounds: int = 4, strength: float = 2.0) -> DataFrame:
     """``(doc_id, n_passages, n_residue, placeholder)`` of the records that hold template residue or nothing but error or filler text."""
     spark = df.sparkSession
     shared_folder(spark)
     texts = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     docs = texts.mapInArrow(_featured, FEATURE_SCHEMA).checkpoint()
+    # a task sends at most TABLE rows a round; few tasks for each core keep that small beside what they read
+    parts, cores = docs.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism
+    counted = docs.coalesce(max(4 * cores, parts // 8)) if parts > 4 * cores else docs
     model = None
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(model)
@@ -191,36 +295,16 @@ def residue_documents(df: DataFrame, id_col: str, text_col: str, *, rounds: int
         def count(batches, shared=shared):
             sums, total = np.zeros((4, TABLE)), np.zeros(4)
             for b in batches:
-                if shared.value is None:
-                    f, owner, _, ph, trusted, _ = _flat(b)
-                    bad = np.where(ph == 2, 0.5, 0.0)  # an unmistakable notation, but the only one of its record
-                else:
-                    odds, f, owner, _, ph, trusted, _ = _odds(b, shared.value)
-                    bad = 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
-                bad[trusted], ph = 1, ph > 0
-                w = np.stack([bad * ph, (1 - bad) * ph, bad * ~ph, (1 - bad) * ~ph])
-                for i in range(4):
-                    sums[i] += np.bincount(f, w[i][owner], TABLE)
-                total += w.sum(1)
+                part, whole = weigh(b, shared.value)
+                sums += part
+                total += whole
             used = np.nonzero(sums.sum(0) > 0)[0]
             yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, used], pa.int32()), *(pa.array(np.r_[total[i], sums[i][used]]) for i in range(4))], ["bucket", *CLASSES])
 
-        counts = docs.mapInArrow(count, "bucket int, slot double, explained double, message double, note double").groupBy("bucket").agg(*(F.sum(c).alias(c) for c in CLASSES)).toArrow()  # at most TABLE + 1 rows
+        counts = counted.mapInArrow(count, "bucket int, slot double, explained double, message double, note double").groupBy("bucket").agg(*(F.sum(c).alias(c) for c in CLASSES)).toArrow()  # at most TABLE + 1 rows
         seen = counts.filter(pa.compute.less(counts.column("bucket"), 0))
         if not seen.num_rows or seen.column("slot")[0].as_py() + seen.column("message")[0].as_py() == 0:
             return spark.createDataFrame([], "doc_id long, n_passages int, n_residue int, placeholder boolean")
         model = _weights(counts, strength)
     last = spark.sparkContext.broadcast(model)
-
-    def decide(batches):
-        for b in batches:
-            odds, _, _, role, ph, trusted, record = _odds(b, last.value)
-            residue = (odds > 0) | trusted
-            n = b.num_rows
-            content = role == CONTENT
-            total, bad = np.bincount(record[content], minlength=n), np.bincount(record[content & residue], minlength=n)
-            slot = np.bincount(record[(ph > 0) & residue], minlength=n) > 0
-            hit = np.nonzero(slot | (bad == total))[0]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(hit)), pa.array(total[hit], pa.int32()), pa.array(bad[hit], pa.int32()), pa.array(slot[hit])], ["doc_id", "n_passages", "n_residue", "placeholder"])
-
-    return docs.mapInArrow(decide, "doc_id long, n_passages int, n_residue int, placeholder boolean")
+    return docs.mapInArrow(lambda batches: (decided(b, last.value) for b in batches), "doc_id long, n_passages int, n_residue int, placeholder boolean")

@@ -93,6 +93,27 @@ def test_odd_long_texts(spark):
     assert {r.doc_id for r in leakage.leaked_spans(df, "doc_id", "text", tests, "id", ["a"]).collect()} == {6}
 
 
+def test_placeholders_of_any_length():
+    for size in (2, 45, 400, 9000):
+        name = "long name " * (size // 10) + "ab"
+        for text in ("{{%s}}", "${%s}", "[[%s]]", "<<%s>>", "{%% %s %%}", "@@%s@@", "{{{%s}}}", "%%(%s)s", "[insert %s]", "(your %s here)"):
+            found = residue.passages(f"Somebody leaves by the door at {text % name} before noon today.")
+            assert len(found) == 1 and found[0][1] and "name" not in found[0][0], text
+        word = "ab" * (size // 2 + 1)
+        for text in ("%%%s%%", "$%s$", "__%s__", "#%s#", "{%s}", "<%s>"):
+            assert residue.passages(f"Somebody leaves by the door at {text % word} before noon today.")[0][1], text
+
+
+def test_passages_and_features():
+    text = "Clip gate_1\nA dog barks. It runs (fast!) off - then stops: quiet\n" + "=" * 12 + "\n12"
+    assert [p for p, *_ in residue.passages(text)] == ["Clip gate_1", "A dog barks.", "It runs (fast!)", "off", "then stops", "quiet", "⟦_rule⟧", "12"]
+    tokens = [["a", "b", "a"], [], ["b", "7"], ["a", "b", "a"], ["b", "19"]]
+    f, sizes = residue.features(tokens, [["double"], [], [], ["double"], []])
+    parts = np.split(f, np.cumsum(sizes)[:-1])
+    # ^a ab ba a$ with two words and a style; ^$; ^b b# #$ with two words
+    assert sizes.tolist() == [7, 1, 5, 7, 5] and np.array_equal(parts[0], parts[3]) and np.array_equal(parts[2], parts[4])
+
+
 def test_residue_on_held_out_records(spark):
     rng = random.Random(9)
     plain = notes(rng, 600)
