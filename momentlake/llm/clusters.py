@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from momentlake.llm import vectors as V
 from momentlake.operators.components import connected_components
+from momentlake.session import shared_folder
 
 MEMBER_SCHEMA = "id long, part string, community string, degree double, home boolean"
 SKETCH = 96
@@ -210,17 +211,17 @@ def _cell_members(table: pa.Table, dim: int, k: int, min_cosine: float, slack: f
     return pa.table({"id": pa.array(out["id"], pa.int64()), "part": pa.array(out["part"], pa.string()), "community": pa.array(out["community"], pa.string()), "degree": pa.array(out["degree"], pa.float64()), "home": pa.array(out["home"], pa.bool_())})
 
 
-def similarity_clusters(df: DataFrame, id_col: str, vec_col: str, *, dim: int, min_cosine: float, min_size: int = 4, k: int = 10, probes: int = 4, margin: float = 0.15, rows_per_cell: int = 1000) -> DataFrame:
+def similarity_clusters(df: DataFrame, id_col: str, vec_col: str, *, dim: int, min_cosine: float, min_size: int = 4, k: int = 10, probes: int = 4, margin: float = 0.15, rows_per_cell: int = 1000, tree: V.Tree | None = None) -> DataFrame:
     """``(cluster_id, item_id, community, degree)``: the members of every cluster of at least ``min_size`` rows.
 
     ``community`` is the modularity community inside the cluster, ``degree`` the summed cosine of the row's graph
     edges into it.
     """
     spark = df.sparkSession
-    cells = V.fit_cells(df, id_col, vec_col, dim, df.count(), probes=probes, margin=margin, rows_per_cell=rows_per_cell)
-    if cells is None:
+    shared_folder(spark)
+    placed = V.in_cells(df, id_col, vec_col, dim, df.count(), tree or V.Tree(probes, margin, rows_per_cell))
+    if placed is None:
         return spark.createDataFrame([], "cluster_id long, item_id long, community string, degree double")
-    placed = V.by_cell(V.to_cells(df, id_col, vec_col, dim, cells, probes=probes, margin=margin), cells)
     members = placed.groupBy("cell").applyInArrow(lambda t: _cell_members(t, dim, k, min_cosine, 1e-4), MEMBER_SCHEMA).checkpoint()
     per_item = members.groupBy("id").agg(
         F.min("part").alias("part"),

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from momentlake.llm import vectors as V
+from momentlake.session import shared_folder
 
 BLOCKS = (64, 128, 256, 512)
 PAIR_SCHEMA = "id long, other long, cosine double"
@@ -134,16 +135,17 @@ def _cell_pairs(table: pa.Table, dim: int, k: int, min_cosine: float, confidence
     return pa.table({"id": pa.array(out_id, pa.int64()), "other": pa.array(out_other, pa.int64()), "cosine": pa.array(out_cos, pa.float64())})
 
 
-def neighbours(df: DataFrame, id_col: str, vec_col: str, *, dim: int, k: int, min_cosine: float = -1.0, probes: int = 3, margin: float = 0.06, rows_per_cell: int = 1000, confidence: float = 3.0) -> DataFrame:
+def neighbours(df: DataFrame, id_col: str, vec_col: str, *, dim: int, k: int, min_cosine: float = -1.0, probes: int = 3, margin: float = 0.06, rows_per_cell: int = 1000, confidence: float = 3.0, tree: V.Tree | None = None) -> DataFrame:
     """``(id, other, cosine)``: for every usable row of ``df`` its ``k`` most similar other rows with cosine >= ``min_cosine``.
 
     ``probes`` and ``margin`` steer how many cells a vector visits beside its own (``probes=rows`` and a margin of 2 make
     the search exhaustive).
     """
-    cells = V.fit_cells(df, id_col, vec_col, dim, df.count(), probes=probes, margin=margin, rows_per_cell=rows_per_cell)
-    if cells is None:
+    tree = tree or V.Tree(probes, margin, rows_per_cell)
+    shared_folder(df.sparkSession)
+    placed = V.in_cells(df, id_col, vec_col, dim, df.count(), tree)
+    if placed is None:
         return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
-    placed = V.by_cell(V.to_cells(df, id_col, vec_col, dim, cells, probes=probes, margin=margin), cells)
     pairs = placed.groupBy("cell").applyInArrow(lambda t: _cell_pairs(t, dim, k, min_cosine, confidence), PAIR_SCHEMA)
     best = Window.partitionBy("id").orderBy(F.desc("cosine"), F.asc("other"))
     return pairs.dropDuplicates(["id", "other"]).withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).drop("place")

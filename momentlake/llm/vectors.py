@@ -7,6 +7,7 @@ one row per batch.  Vectors that differ by a positive whole factor point the sam
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -17,7 +18,6 @@ from pyspark.sql import functions as F
 
 #: Vectors whose elements are whole multiples of 1/GRID and fit two bytes (times GRID) are packed as integers.
 GRID = 1024
-CELL_SCHEMA = "cell long, home boolean, ids array<long>, vec binary"
 
 
 def matrix_of(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,14 +112,18 @@ def rotation(dim: int, columns: int | None = None, seed: int = 7) -> np.ndarray:
 
 
 class Cells:
-    """Coarse cells: the mean of the data, unit centroids of the centred directions, blocks and handicap per cell."""
+    """Sibling cells: the mean of their data, unit centroids of the centred directions, and per cell a handicap and how many rows are expected there."""
 
-    def __init__(self, mean: np.ndarray, centroids: np.ndarray, blocks: np.ndarray, handicap: np.ndarray):
-        self.mean, self.centroids, self.blocks, self.handicap = mean, centroids, blocks, handicap
+    def __init__(self, mean: np.ndarray, centroids: np.ndarray, handicap: np.ndarray, expected: np.ndarray):
+        self.mean, self.centroids, self.handicap, self.expected = mean, centroids, handicap, expected
 
-    def tasks(self) -> np.ndarray:
-        """Per cell the number of its pairs of blocks (i <= j), each of which is brought together on its own."""
-        return self.blocks * (self.blocks + 1) // 2
+    def to_bytes(self) -> list[bytes]:
+        return [x.tobytes() for x in (self.mean, self.centroids, self.handicap, self.expected)]
+
+    @classmethod
+    def restored(cls, mean: bytes, centroids: bytes, handicap: bytes, expected: bytes) -> Cells:
+        m = np.frombuffer(mean, np.float32)
+        return cls(m, np.frombuffer(centroids, np.float32).reshape(-1, len(m)), np.frombuffer(handicap, np.float32), np.frombuffer(expected, np.float64))
 
     def probe(self, u: np.ndarray, probes: int, margin: float) -> tuple[np.ndarray, np.ndarray]:
         """For unit rows: the ``probes`` best cells, best first, and which of them lie within ``margin`` of the best."""
@@ -137,6 +141,36 @@ class Cells:
         return top, v >= v[:, :1] - margin
 
 
+@dataclass(frozen=True)
+class Tree:
+    """How rows are divided into cells, and the cells a row visits beside its own (``probes``, ``margin``)."""
+
+    probes: int
+    margin: float
+    rows_per_cell: int = 1000
+    fanout: int = 4096  # cells fitted at once, at most
+    sample_per_cell: int = 16
+    too_large: int = 16  # times ``rows_per_cell``: cells expected to hold more are divided again
+    levels: int = 4
+    salt_rows: int = 50_000  # rows of a large cell divided by one task
+    rounds: int = 3
+    evenness: float = 1.5
+
+    @property
+    def limit(self) -> int:
+        return self.too_large * self.rows_per_cell
+
+    def children(self, rows) -> np.ndarray:
+        return np.clip(np.ceil(np.asarray(rows, np.float64) / self.rows_per_cell), 2, self.fanout).astype(np.int64)
+
+    def rate(self, rows) -> np.ndarray:
+        """The share of a cell's rows that its children are fitted on."""
+        return np.minimum(1.0, self.sample_per_cell * self.children(rows) / np.maximum(rows, 1))
+
+    def salts(self, rows) -> np.ndarray:
+        return np.maximum(1, np.ceil(np.asarray(rows, np.float64) / self.salt_rows)).astype(np.int32)
+
+
 def _lloyd(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), k, replace=False)].copy()
@@ -183,18 +217,37 @@ def _arrivals(s: np.ndarray, off: np.ndarray, probes: int, margin: float) -> np.
     return out / len(s)
 
 
-def fit_cells(df: DataFrame, id_col: str, vec_col: str, dim: int, rows: int, *, probes: int, margin: float, rows_per_cell: int = 1000, max_cells: int = 4096, sample_per_cell: int = 16, block_rows: int = 16384, rounds: int = 3, evenness: float = 1.5) -> Cells | None:
-    """Fit the coarse cells on a bounded sample; None if no row is usable.
+def _fitted(x: np.ndarray, rows: float, cells: int, tree: Tree) -> Cells:
+    """Cells for ``rows`` rows of which the unit rows ``x`` are a sample; equal rows count once, as copies travel together."""
+    first = {r.tobytes(): i for i, r in reversed(list(enumerate(x)))}
+    distinct = len(first) / len(x)
+    if distinct < 1:
+        x = x[np.sort(np.fromiter(first.values(), np.int64))]
+    mean = x.mean(0, dtype=np.float64).astype(np.float32)
+    x = x - mean
+    x /= np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
+    k = min(cells, max(1, len(x) // 2))
+    c = _lloyd(x, k, tree.rounds, 5)
+    x = x[:: -(-len(x) * k // (1 << 26))]
+    s = np.concatenate([(x[i : i + 1024] @ c.T).astype(np.float16) for i in range(0, len(x), 1024)])  # at most 128 MB
+    off = _handicap(s, tree.evenness / k)
+    return Cells(mean, c, off, _arrivals(s, off, tree.probes, tree.margin) * rows * distinct)
+
+
+CELLS_SCHEMA = "mean binary, c binary, off binary, expected binary"
+
+
+def fit_cells(df: DataFrame, id_col: str, vec_col: str, dim: int, rows: int, tree: Tree) -> Cells | None:
+    """Fit the top level of cells on a bounded sample; None if no row is usable.
 
     The sample is chosen by a hash of the id and holds about ``sample_per_cell`` rows per cell, so at most
-    ``sample_per_cell * max_cells`` (65,536) rows, fitted inside one task; only the centroids reach the driver.
-    Every row is indexed afterwards. Cells above ``evenness`` times the mean size are handicapped. A cell to which by its share of the sample
-    more than ``block_rows`` rows go, visitors (``probes``, ``margin``) included, is split into several blocks.
+    ``sample_per_cell * fanout`` (65,536) rows, fitted inside one task; only the centroids reach the driver.
+    Every row is indexed afterwards. Cells above ``evenness`` times the mean size are handicapped.
     """
-    cells = int(min(max(rows // rows_per_cell, 8), max_cells))
+    cells = int(min(max(rows // tree.rows_per_cell, 8), tree.fanout))
     scale = 1 << 24
-    wanted = min(scale, int(scale * cells * sample_per_cell / max(rows, 1)) + 1)
-    most = 2 * sample_per_cell * max_cells
+    wanted = min(scale, int(scale * cells * tree.sample_per_cell / max(rows, 1)) + 1)
+    most = 2 * tree.sample_per_cell * tree.fanout
     picked = df.select(id_col, vec_col).where(F.col(id_col).isNotNull()).where(F.pmod(F.xxhash64(F.lit(11), F.col(id_col)), F.lit(scale)) < wanted).limit(most)
 
     def fit(batches):
@@ -206,34 +259,51 @@ def fit_cells(df: DataFrame, id_col: str, vec_col: str, dim: int, rows: int, *,
         if sum(map(len, ids)):
             x = np.concatenate(parts)[np.unique(np.concatenate(ids), return_index=True)[1]]  # in order of id, so every run fits the same cells
             parts.clear()
-            mean = x.mean(0, dtype=np.float64).astype(np.float32)
-            x -= mean
-            x /= np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
-            k = min(cells, max(1, len(x) // 2))
-            c = _lloyd(x, k, rounds, 5)
-            x = x[:: -(-len(x) * k // (1 << 26))]
-            s = np.concatenate([(x[i : i + 1024] @ c.T).astype(np.float16) for i in range(0, len(x), 1024)])  # at most 128 MB
-            off = _handicap(s, evenness / k)
-            blocks = np.maximum(1, np.ceil(_arrivals(s, off, probes, margin) * rows / block_rows)).astype(np.int64)
-            yield pa.RecordBatch.from_pydict({"mean": [mean.tobytes()], "c": [c.tobytes()], "blocks": [blocks.tobytes()], "off": [off.tobytes()]})
-
-    got = picked.mapInArrow(fit, "mean binary, c binary, blocks binary, off binary").collect()
-    if not got:
-        return None
-    return Cells(np.frombuffer(got[0].mean, np.float32), np.frombuffer(got[0].c, np.float32).reshape(-1, dim), np.frombuffer(got[0].blocks, np.int64), np.frombuffer(got[0].off, np.float32))
+            yield pa.RecordBatch.from_pydict(dict(zip(("mean", "c", "off", "expected"), ([v] for v in _fitted(x, rows, cells, tree).to_bytes()))))
+
+    got = picked.mapInArrow(fit, CELLS_SCHEMA).collect()
+    return Cells.restored(*map(bytes, got[0])) if got else None
 
 
-def to_cells(df: DataFrame, id_col: str, vec_col: str, dim: int, cells: Cells, *, probes: int, margin: float) -> DataFrame:
-    """One row per (vector, cell it goes to): its home cell, and as a visitor each further cell within the margin.
+PLACED = "cell long, home boolean, ids array<long>, vec binary, open boolean, expected double, salt int, pick boolean"
 
-    In a split cell a vector belongs to the block its bytes select. Each pair of blocks is a group of its own, so a group
-    holds two blocks at most, any two vectors of the cell meet, and a vector is sent once for every block.
+
+def _placed(own: Cells, tree: Tree, last: bool, parent: int, u: np.ndarray, home: np.ndarray, ids: pa.Array, vec: pa.Array) -> pa.RecordBatch:
+    """The rows at the cells they go to, children of ``parent`` (-1: the top).
+
+    Cells expected to be too large stay ``open``, to be divided; on the ``last`` level their rows go in pairs of blocks instead: a row
+    belongs to the block its bytes select, each pair of blocks is a group of its own, so that a group holds two blocks at most
+    and any two rows of the cell meet.
     """
+    top, near = own.probe(u, tree.probes, tree.margin)
+    r, j = np.nonzero(near)
+    c = top[r, j]
+    cell, own_home = (parent + 1) * tree.fanout + c, home[r] & (j == 0)
+    expected = own.expected[c]
+    large = expected > tree.limit
+    hashed = np.fromiter((xxhash.xxh64_intdigest(v) for v in vec.to_pylist()), np.uint64, len(vec))[r]
+    if last and large.any():
+        blocks = np.where(large, np.ceil(2 * expected / tree.limit), 1).astype(np.int64)
+        mine = (hashed % blocks.astype(np.uint64)).astype(np.int64)
+        at = np.repeat(np.arange(len(r)), blocks)
+        k = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        n, lo, hi = blocks[at], np.minimum(mine[at], k), np.maximum(mine[at], k)
+        pair = lo * n - lo * (lo - 1) // 2 + hi - lo
+        r, own_home, expected, hashed = r[at], own_home[at], expected[at], hashed[at]
+        cell = np.where(n > 1, -((cell[at] << 20) + pair + 1), cell[at])
+        large = np.zeros(len(r), bool)
+    pick = large & ((hashed * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(11)).astype(np.float64) / 2.0**53 < tree.rate(expected))
+    salt = ((hashed >> np.uint64(7)) % tree.salts(expected).astype(np.uint64)).astype(np.int32)
+    at = pa.array(r)
+    return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(own_home), ids.take(at), vec.take(at), pa.array(large), pa.array(expected), pa.array(salt), pa.array(pick)], ["cell", "home", "ids", "vec", "open", "expected", "salt", "pick"])
+
+
+def to_cells(df: DataFrame, id_col: str, vec_col: str, dim: int, cells: Cells, tree: Tree, last: bool = False) -> DataFrame:
+    """One row per (vector, cell it goes to): its home cell, and as a visitor each further cell within the margin."""
     shared = df.sparkSession.sparkContext.broadcast(cells)
 
     def assign(batches):
         own = shared.value
-        first_task = np.concatenate([[0], np.cumsum(own.tasks())])
         for b in batches:
             at, m = matrix_of(b.column(1), dim)
             ids_in = b.column(0).to_numpy(zero_copy_only=False)
@@ -243,35 +313,77 @@ def to_cells(df: DataFrame, id_col: str, vec_col: str, dim: int, cells: Cells, *
                 if key not in groups:
                     groups[key], where[key] = [], pos
                 groups[key].append(int(ids_in[i]))
-            if not groups:
-                continue
-            keys = list(groups)
-            top, near = own.probe(unit(m[[where[k] for k in keys]]), probes, margin)
-            cell, home, ids, vec = [], [], [], []
-            for i, key in enumerate(keys):
-                for j in np.nonzero(near[i])[0]:
-                    c = top[i, j]
-                    n = int(own.blocks[c])
-                    mine = xxhash.xxh64_intdigest(key) % n
-                    for k in range(n):
-                        lo, hi = min(mine, k), max(mine, k)
-                        cell.append(first_task[c] + lo * n - lo * (lo - 1) // 2 + hi - lo)
-                        home.append(j == 0)
-                        ids.append(groups[key])
-                        vec.append(key)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cell, pa.int64()), pa.array(home, pa.bool_()), pa.array(ids, pa.list_(pa.int64())), pa.array(vec, pa.binary())],
-                ["cell", "home", "ids", "vec"],
-            )
-
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).where("id is not null and v is not null").mapInArrow(assign, CELL_SCHEMA)
-
-
-def by_cell(rows: DataFrame, cells: Cells) -> DataFrame:
-    """The rows brought together by cell, several cells to a task."""
-    total = int(cells.tasks().sum())
-    tasks = max(min(2 * rows.sparkSession.sparkContext.defaultParallelism, total), min(total // 8, 2000), 1)
-    return rows.repartition(tasks, "cell")
+            if groups:
+                keys = list(groups)
+                yield _placed(own, tree, last, -1, unit(m[[where[k] for k in keys]]), np.ones(len(keys), bool), pa.array(list(groups.values()), pa.list_(pa.int64())), pa.array(keys, pa.binary()))
+
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).where("id is not null and v is not null").mapInArrow(assign, PLACED)
+
+
+def _divided(rows: DataFrame, dim: int, tree: Tree, last: bool) -> tuple[DataFrame, bool]:
+    """The rows of open cells at the children of their cells, and whether some of these are open again.
+
+    The children of a cell are fitted on a sample of its rows; they are a row of a table. The rows of a cell are spread over
+    as many tasks as its size asks for, each of which reads the cell's children first and then the rows, one batch at a time.
+    """
+
+    def fit(t: pa.Table) -> pa.Table:
+        vecs = sorted(set(t.column("vec").to_pylist()))  # whatever order the shuffle gave them
+        size = t.column("expected")[0].as_py()
+        got = _fitted(unit(unpack(vecs, dim)), size, int(tree.children(size)), tree)
+        return pa.table({"cell": t.column("cell").slice(0, 1), "size": [size], "open": [bool((got.expected > tree.limit).any())], **dict(zip(("mean", "c", "off", "expected"), ([v] for v in got.to_bytes())))})
+
+    models = rows.where("pick").select("cell", "vec", "expected").groupBy("cell").applyInArrow(fit, "cell long, size double, open boolean, " + CELLS_SCHEMA).checkpoint()
+    salts = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.col("size") / tree.salt_rows)).cast("int") - 1))
+    first = models.select("cell", salts.alias("salt"), F.lit(0).alias("kind"), F.struct("mean", "c", "off", "expected").alias("model"), F.lit(None).cast("boolean").alias("home"), F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("binary").alias("vec"))
+    data = rows.select("cell", "salt", F.lit(1).alias("kind"), F.lit(None).cast("struct<mean:binary,c:binary,off:binary,expected:binary>").alias("model"), "home", "ids", "vec")
+    together = first.unionByName(data).repartition("cell", "salt").sortWithinPartitions("cell", "salt", "kind")
+
+    def divide(batches):
+        key, own = None, None
+        for b in batches:
+            cells, kinds = b.column(0).to_numpy(), b.column(2).to_numpy()
+            cuts = np.nonzero(np.r_[True, (cells[1:] != cells[:-1]) | (kinds[1:] != kinds[:-1]) | (kinds[1:] == 0)])[0]
+            for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), b.num_rows]):
+                cell = int(cells[lo])
+                if kinds[lo] == 0:
+                    model = b.column(3)[lo].as_py()
+                    key, own = cell, Cells.restored(model["mean"], model["c"], model["off"], model["expected"])
+                    continue
+                if key != cell:  # no row of it was in the sample: it stays one cell
+                    key, own = cell, Cells(np.zeros(dim, np.float32), np.ones((1, dim), np.float32), np.zeros(1, np.float32), np.zeros(1))
+                part = b.slice(lo, hi - lo)
+                vec = part.column(6)
+                yield _placed(own, tree, last, cell, unit(unpack(vec.to_pylist(), dim)), part.column(4).to_numpy(zero_copy_only=False).astype(bool), part.column(5), vec)
+
+    return together.mapInArrow(divide, PLACED), not last and models.where("open").limit(1).count() > 0
+
+
+def in_cells(df: DataFrame, id_col: str, vec_col: str, dim: int, rows: int, tree: Tree) -> DataFrame | None:
+    """``(cell, home, ids, vec)``, brought together by cell, several cells to a task; None if no row is usable.
+
+    A tree of cells: the top level is fitted on the driver's behalf and broadcast (at most ``fanout`` centroids); cells to which
+    more than ``limit`` rows go are divided again, by tables and shuffles only, until their parts are small enough or ``levels``
+    are reached. So neither a large collection nor a crowd of near-copies makes a group larger than ``limit`` rows
+    (as far as a sample of ``sample_per_cell`` rows a cell tells its size).
+    """
+    cells = fit_cells(df, id_col, vec_col, dim, rows, tree)
+    if cells is None:
+        return None
+    columns = ["cell", "home", "ids", "vec"]
+    more, level = bool((cells.expected > tree.limit).any()), 1
+    placed = to_cells(df, id_col, vec_col, dim, cells, tree, last=tree.levels <= 1)
+    total = len(cells.expected) + int(np.maximum(cells.expected - tree.limit, 0).sum() / tree.rows_per_cell)
+    done = []
+    while more and level < tree.levels:
+        placed, level = placed.checkpoint(), level + 1
+        done.append(placed.where("not open").select(*columns))
+        placed, more = _divided(placed.where("open"), dim, tree, level == tree.levels)
+    out = placed.select(*columns)
+    for part in done:
+        out = out.unionByName(part)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return out.repartition(max(min(2 * cores, total), min(total // 8, max(2000, total // 64)), 1), "cell")
 
 
 def merge_copies(table: pa.Table) -> tuple[list[bytes], np.ndarray, list[np.ndarray]]:

@@ -120,26 +120,54 @@ def test_clusters_joined_by_a_link_in_no_list(spark):
     assert {(r.cluster_id, r.item_id) for r in out.collect()} == want and (0, 59) in want
 
 
-def test_a_split_cell_goes_in_pairs_of_blocks(spark, monkeypatch):
+def groups_of(placed):
+    groups = {}
+    for r in placed.collect():
+        groups.setdefault(r.cell, set()).update(r.ids)
+    return groups
+
+
+def test_a_cell_that_cannot_be_divided_goes_in_pairs_of_blocks(spark, monkeypatch):
     """No group holds more than two blocks, and the results are those of the whole cell."""
     data, _ = clouds(9, groups=20, size=8)
     ids, s = exact(data)
     df = frame(spark, data)
-    whole = V.Cells(np.zeros(DIM, np.float32), np.eye(1, DIM, dtype=np.float32), np.array([6]), np.zeros(1, np.float32))
-    groups = {}
-    for r in V.to_cells(df, "id", "emb", DIM, whole, probes=1, margin=0.0).collect():
-        groups.setdefault(r.cell, set()).update(r.ids)
+    whole = V.Cells(np.zeros(DIM, np.float32), np.eye(1, DIM, dtype=np.float32), np.zeros(1, np.float32), np.array([300.0]))
+    tree = V.Tree(1, 0.0, rows_per_cell=10, too_large=10, levels=1)
+    groups = groups_of(V.to_cells(df, "id", "emb", DIM, whole, tree, last=True))
     assert len(groups) > 6 and max(map(len, groups.values())) <= 0.6 * len(ids)
     met = {(a, b) for g in groups.values() for a in g for b in g}
     assert len(met) == len(ids) ** 2
     monkeypatch.setattr(V, "fit_cells", lambda *a, **k: whole)
-    got = {(r.id, r.other) for r in neighbours.neighbours(df, "id", "emb", dim=DIM, k=5, min_cosine=0.9).collect()}
+    got = {(r.id, r.other) for r in neighbours.neighbours(df, "id", "emb", dim=DIM, k=5, min_cosine=0.9, tree=tree).collect()}
     want = {(int(ids[a]), int(ids[b])) for a in range(len(ids)) for b in np.argsort(-s[a], kind="stable")[:5] if s[a, b] >= 0.9}
     assert got == want
-    out = clusters.similarity_clusters(df, "id", "emb", dim=DIM, min_cosine=0.7)
+    out = clusters.similarity_clusters(df, "id", "emb", dim=DIM, min_cosine=0.7, tree=tree)
     assert {(r.cluster_id, r.item_id) for r in out.collect()} == cluster_rule(data, 0.7, 4)
 
 
+def test_large_cells_are_divided_level_by_level(spark):
+    """Four cells at a time over 3,000 rows, a third of them near-copies of one vector: no group gets much larger than the limit."""
+    rng = np.random.default_rng(12)
+    centres = rng.standard_normal((200, DIM))
+    crowd = rng.standard_normal(DIM)
+    m = np.concatenate([centres[rng.integers(0, 200, 2000)] + 0.25 * rng.standard_normal((2000, DIM)), crowd + 0.1 * rng.standard_normal((1000, DIM))])
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    data = [(i, [float(x) for x in np.round(v * 1024) / 1024]) for i, v in enumerate(m)]
+    df = frame(spark, data)
+    tree = V.Tree(3, 0.1, rows_per_cell=60, fanout=6, too_large=6, levels=5, salt_rows=200, sample_per_cell=40)
+    groups = groups_of(V.in_cells(df, "id", "emb", DIM, len(data), tree))
+    assert len(groups) > 20 and max(map(len, groups.values())) <= 1.5 * tree.limit and set().union(*groups.values()) == set(range(3000))
+    ids, s = exact(data)
+    found = neighbours.neighbours(df, "id", "emb", dim=DIM, k=5, min_cosine=0.8, tree=tree)
+    got = {(r.id, r.other) for r in found.collect()}
+    want = {(int(ids[a]), int(ids[b])) for a in range(2000) for b in np.argsort(-s[a], kind="stable")[:5] if s[a, b] >= 0.8}
+    assert len(want & got) >= 0.9 * len(want) and len(want) > 5000
+    want = cluster_rule(data, 0.8, 4)
+    got = {(r.cluster_id, r.item_id) for r in clusters.similarity_clusters(df, "id", "emb", dim=DIM, min_cosine=0.8, tree=tree).collect()}
+    assert len(want & got) >= 0.97 * len(want) and len(want) > 2500
+
+
 @pytest.mark.parametrize("n", [1, 30, 1500])
 def test_neighbour_descent(n):
     rng = np.random.default_rng(n)
