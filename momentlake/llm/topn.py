@@ -167,7 +167,8 @@ def top_n_per_group(df: DataFrame, group: list[str], order: list[tuple[str, str]
     """For each ``group`` the ``n`` best different ``item`` values by ``order`` (column, "asc" or "desc"; the first is the score), with ``place`` 1..n."""
     spark = df.sparkSession
     names = list(dict.fromkeys(group + [c for c, _ in order] + [item]))
-    buckets = max(2 * spark.sparkContext.defaultParallelism, min(df.count() // rows_per_bucket, 20_000))
+    buckets = max(2 * spark.sparkContext.defaultParallelism, df.count() // rows_per_bucket)
+    tasks = min(buckets, max(20_000, buckets // 16))  # beyond 4 billion rows a task merges several buckets, one after the other
     score = order[0][0]
     keep = F.col(item).isNotNull() & F.col(score).isNotNull()
     if dict(df.dtypes)[score] in ("double", "float"):
@@ -206,4 +207,4 @@ def top_n_per_group(df: DataFrame, group: list[str], order: list[tuple[str, str]
             parts.append(pa.table({c: t.column(c)[i].values for c in names}))
         return merge_runs(parts, group, order, item, n).select([*names, "place"])
 
-    return rows.mapInArrow(runs, run_schema).repartition(buckets, "__bucket").groupBy("__bucket").applyInArrow(merge, out_schema)
+    return rows.mapInArrow(runs, run_schema).repartition(tasks, "__bucket").groupBy("__bucket").applyInArrow(merge, out_schema)
