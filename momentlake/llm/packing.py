@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from momentlake.session import shared_folder
+
 PIECE_SCHEMA = "doc_id long, piece int, token_start long, tokens int, container_id long"
 
 
@@ -97,10 +99,11 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, in
 def pack(df: DataFrame, id_col: str, text_col: str, capacity: int = 4096, *, salt_rows: int = 100_000) -> DataFrame:
     """``(doc_id, piece, token_start, tokens, container_id)`` of every text or piece; sizes are UTF-8 bytes plus one end token."""
     spark = df.sparkSession
-    sizes = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text_col) + 1).cast("long").alias("n"))
+    shared_folder(spark)
+    sizes = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text_col) + 1).cast("long").alias("n")).checkpoint()  # texts are read once, for their length
     rest = F.pmod(F.col("n"), F.lit(capacity)).cast("int")
     whole = F.floor(F.col("n") / capacity).cast("int")
-    salts = int(max(1, -(-df.count() // salt_rows)))
+    salts = int(max(1, -(-sizes.count() // salt_rows)))
     small = sizes.where(rest > 0).select("doc_id", whole.alias("piece"), (whole.cast("long") * capacity).alias("token_start"), rest.alias("tokens"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"))
     full = sizes.where(whole > 0).select("doc_id", F.explode(F.sequence(F.lit(0), whole - 1)).alias("piece")).select("doc_id", "piece", (F.col("piece").cast("long") * capacity).alias("token_start"), F.lit(capacity).alias("tokens"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"))
     # items of one size are numbered inside (size, salt), and each (size, salt) starts where the one before ends
