@@ -108,7 +108,10 @@ def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def communities(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, rounds: int = 12, levels: int = 5) -> np.ndarray:
-    """Communities of a weighted undirected graph (each edge once, a != b) by modularity: local moving, then again on the communities, until nothing moves."""
+    """Communities of a weighted undirected graph (each edge once, a != b) by modularity: local moving, then again on the communities.
+
+    It ends when nothing moves, at the latest after ``rounds`` moves on each of ``levels`` levels; clusters do not depend on it.
+    """
     node = np.arange(n)
     loops = np.zeros(n)
     for _ in range(levels):
@@ -237,9 +240,16 @@ def similarity_clusters(df: DataFrame, id_col: str, vec_col: str, *, dim: int, m
 
 
 def describe_clusters(members: DataFrame, items: DataFrame, id_col: str, label_col: str, typical: int = 3) -> DataFrame:
-    """``(cluster_id, size, place, item_id, degree, label)``: each cluster's size and its ``typical`` members of highest internal degree."""
+    """``(cluster_id, size, community, members, place, item_id, degree, label)``: each cluster's size and, of each of its communities, the ``typical`` members of highest internal weighted degree.
+
+    Communities are numbered from 1 by falling number of members (ties: the smallest id); degrees are compared inside a community only.
+    """
     sizes = members.groupBy("cluster_id").agg(F.count("*").alias("size"))
-    order = Window.partitionBy("cluster_id").orderBy(F.desc("degree"), F.asc("item_id"))
+    parts = members.groupBy("cluster_id", "community").agg(F.count("*").alias("members"), F.min("item_id").alias("first"))
+    by_size = Window.partitionBy("cluster_id").orderBy(F.desc("members"), F.asc("first"))
+    parts = parts.withColumn("number", F.row_number().over(by_size)).drop("first")
+    order = Window.partitionBy("cluster_id", "community").orderBy(F.desc("degree"), F.asc("item_id"))
     best = members.withColumn("place", F.row_number().over(order)).where(F.col("place") <= typical)
     labels = items.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("item_id")).agg(F.max(label_col).alias("label"))
-    return best.join(sizes, "cluster_id").join(labels, "item_id", "left").select("cluster_id", "size", "place", "item_id", F.round("degree", 3).alias("degree"), "label")
+    named = best.join(parts, ["cluster_id", "community"]).join(sizes, "cluster_id").join(labels, "item_id", "left")
+    return named.select("cluster_id", "size", F.col("number").alias("community"), "members", "place", "item_id", F.round("degree", 3).alias("degree"), "label")

@@ -135,11 +135,13 @@ def _cell_pairs(table: pa.Table, dim: int, k: int, min_cosine: float, confidence
     return pa.table({"id": pa.array(out_id, pa.int64()), "other": pa.array(out_other, pa.int64()), "cosine": pa.array(out_cos, pa.float64())})
 
 
-def neighbours(df: DataFrame, id_col: str, vec_col: str, *, dim: int, k: int, min_cosine: float = -1.0, probes: int = 3, margin: float = 0.06, rows_per_cell: int = 1000, confidence: float = 3.0, tree: V.Tree | None = None) -> DataFrame:
+def neighbours(df: DataFrame, id_col: str, vec_col: str, *, dim: int, k: int, min_cosine: float, probes: int = 8, margin: float = 0.15, rows_per_cell: int = 1000, confidence: float = 3.0, tree: V.Tree | None = None) -> DataFrame:
     """``(id, other, cosine)``: for every usable row of ``df`` its ``k`` most similar other rows with cosine >= ``min_cosine``.
 
     ``probes`` and ``margin`` steer how many cells a vector visits beside its own (``probes=rows`` and a margin of 2 make
-    the search exhaustive).
+    the search exhaustive). The nearer the neighbours asked for, the fewer visits they need: at 0.94, three and 0.06 find
+    99.8 %. Without a limit (-1) the neighbours of vectors without relatives are nearly as far as all others, and the
+    recall of the defaults falls with the number of cells (0.99 at 30 cells, 0.83 at 300); ask for more probes then.
     """
     tree = tree or V.Tree(probes, margin, rows_per_cell)
     shared_folder(df.sparkSession)

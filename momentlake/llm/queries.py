@@ -19,7 +19,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/items.parquet")
-    return neighbours.mutual_pairs(neighbours.neighbours(items, "id", "emb", dim=512, k=5, min_cosine=0.94))
+    return neighbours.mutual_pairs(neighbours.neighbours(items, "id", "emb", dim=512, k=5, min_cosine=0.94, probes=3, margin=0.06))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

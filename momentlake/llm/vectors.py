@@ -360,7 +360,7 @@ def _divided(rows: DataFrame, dim: int, tree: Tree, last: bool) -> tuple[DataFra
 
 
 def in_cells(df: DataFrame, id_col: str, vec_col: str, dim: int, rows: int, tree: Tree) -> DataFrame | None:
-    """``(cell, home, ids, vec)``, brought together by cell, several cells to a task; None if no row is usable.
+    """``(cell, home, ids, vec)``, brought together by cell, about one to a task (32 from 100,000 cells on); None if no row is usable.
 
     A tree of cells: the top level is fitted on the driver's behalf and broadcast (at most ``fanout`` centroids); cells to which
     more than ``limit`` rows go are divided again, by tables and shuffles only, until their parts are small enough or ``levels``
@@ -382,8 +382,7 @@ def in_cells(df: DataFrame, id_col: str, vec_col: str, dim: int, rows: int, tree
     out = placed.select(*columns)
     for part in done:
         out = out.unionByName(part)
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return out.repartition(max(min(2 * cores, total), min(total // 8, max(2000, total // 64)), 1), "cell")
+    return out.repartition(max(min(total, 4000), total // 32), "cell")
 
 
 def merge_copies(table: pa.Table) -> tuple[list[bytes], np.ndarray, list[np.ndarray]]:

@@ -51,7 +51,7 @@ def test_neighbours_equal_brute_force(spark):
 def test_neighbours_without_a_limit(spark):
     data, _ = clouds(1, singles=100)
     ids, s = exact(data)
-    out = neighbours.neighbours(frame(spark, data), "id", "emb", dim=DIM, k=3, probes=1000, margin=2.0, rows_per_cell=60)
+    out = neighbours.neighbours(frame(spark, data), "id", "emb", dim=DIM, k=3, min_cosine=-1.0, probes=1000, margin=2.0, rows_per_cell=60)
     got = {(r.id, r.other) for r in out.collect()}
     want = {(int(ids[a]), int(ids[b])) for a in range(len(ids)) for b in np.argsort(-s[a], kind="stable")[:3]}
     assert len(want & got) >= 0.98 * len(want) and len(got) == len(want)
@@ -61,7 +61,7 @@ def test_empty_and_unusable(spark):
     _, bad = clouds(2)
     for rows in ([], bad):
         df = frame(spark, rows)
-        assert neighbours.neighbours(df, "id", "emb", dim=DIM, k=5).count() == 0
+        assert neighbours.neighbours(df, "id", "emb", dim=DIM, k=5, min_cosine=-1.0).count() == 0
         assert clusters.similarity_clusters(df, "id", "emb", dim=DIM, min_cosine=0.5).count() == 0
 
 
@@ -103,6 +103,8 @@ def test_clusters_equal_brute_force(spark):
     described = clusters.describe_clusters(out, frame(spark, data), "id", "label").collect()
     sizes = {r.cluster_id: r.size for r in described}
     assert all(sizes[c] == sum(1 for x in got if x[0] == c) for c in sizes) and {r.label for r in described} == {"x"}
+    whole = {c: {(r.community, r.members) for r in described if r.cluster_id == c} for c in sizes}
+    assert all(sum(m for _, m in v) == sizes[c] and min(n for n, _ in v) == 1 for c, v in whole.items()) and all(r.place <= 3 for r in described)
 
 
 def test_clusters_joined_by_a_link_in_no_list(spark):
