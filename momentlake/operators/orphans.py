@@ -41,9 +41,9 @@ def orphan_references(children: dict[str, DataFrame], parents: DataFrame) -> Dat
     ``children``: by table name ``(row_id, key, ingested_at)``; ``parents``: ``(key, valid_from, valid_to)``; times are epoch seconds.
     """
     rows = reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("table_name"), F.col("row_id").cast("long").alias("row_id"), "key", "ingested_at") for name, df in children.items()]).where("key is not null")
-    total = sum(df.count() for df in children.values())
     shared_folder(rows.sparkSession)
-    keys = rows.groupBy("key").agg(F.count("*").alias("n")).checkpoint()  # used three times
+    keys = rows.groupBy("key").agg(F.count("*").alias("n")).checkpoint()  # used four times
+    total = keys.agg(F.sum("n")).first()[0] or 0
     known = parents.where("key is not null").select("key").distinct()
     missing = keys.join(known, "key", "left_anti").select("key", "n", F.lit(None).cast("array<struct<s:double,e:double>>").alias("spans"))
     existing = keys.join(known, "key", "left_semi").join(periods(parents), "key", "left").select("key", "n", "spans")
