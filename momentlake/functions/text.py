@@ -8,8 +8,9 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import StringType
 
+from momentlake.functions import bpe
 from momentlake.functions.numbers import exact_round
 
 #: Fixed value: what the tokenizer splits a cleaned text into.
@@ -18,15 +19,45 @@ PIECES = r"(?i)<start_of_text>|<end_of_text>|'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N
 
 @F.pandas_udf(StringType())
 def _resolved(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: html.unescape(html.unescape(x)) if x is not None and "&" in x else x)
+    referring = s.str.contains("&", regex=False, na=False)
+    if referring.any():
+        s = s.copy()
+        s[referring] = [html.unescape(html.unescape(x)) for x in s[referring]]
+    return s
 
 
-def clean(c: Column) -> Column:
-    """Character references resolved twice, white space collapsed and trimmed, lower case.
+def mended(text: str) -> str:
+    """A text that was written in UTF-8 and read in a Western single-byte encoding, as it was meant; other texts as they are.
 
-    Only texts with an ampersand need the entity table; the rest stays on the JVM in effect.
+    It is read back as long as that gives valid UTF-8 and shortens it (at most twice).
     """
-    return F.lower(F.trim(F.regexp_replace(_resolved(c), r"(?U)\s+", " ")))
+    for _ in range(2):
+        try:
+            again = text.encode("cp1252").decode("utf-8")
+        except UnicodeError:
+            break
+        if len(again) >= len(text):
+            break
+        text = again
+    return text
+
+
+@F.pandas_udf(StringType())
+def _mended(s: pd.Series) -> pd.Series:
+    suspect = s.str.contains("[\u00c2-\u00f4]", na=False)  # what the first byte of a longer character looks like
+    if suspect.any():
+        s = s.copy()
+        s[suspect] = [mended(x) for x in s[suspect]]
+    return s
+
+
+def clean(c: Column, mend: bool = False) -> Column:
+    """Character references resolved twice, white space collapsed and trimmed, lower case; with ``mend``, broken encodings repaired first.
+
+    References need the table of entities, so texts pass through Python in Arrow batches; only those with an ampersand are touched
+    there. For texts known to have none, ``clean_plain`` stays on the JVM.
+    """
+    return F.lower(F.trim(F.regexp_replace(_resolved(_mended(c) if mend else c), r"(?U)\s+", " ")))
 
 
 def clean_plain(c: Column) -> Column:
@@ -46,21 +77,8 @@ def fit_tokens(ids: Column, start: int, end: int, length: int = 77) -> Column:
 
 
 def bpe_encoder(path: str) -> Callable[[Column], Column]:
-    """Token ids by a public vocabulary file of the ``tokenizers`` library; loaded once per worker."""
-    loaded: dict = {}
-
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def encode(s: pd.Series) -> pd.Series:
-        if "t" not in loaded:
-            from tokenizers import Tokenizer
-
-            loaded["t"] = Tokenizer.from_file(path)
-            loaded["t"].encode_special_tokens = True
-        texts = s.fillna("").tolist()
-        out = [e.ids for e in loaded["t"].encode_batch(texts, add_special_tokens=False)]
-        return pd.Series([o if ok else None for o, ok in zip(out, s.notna())])
-
-    return encode
+    """Token ids of cleaned texts by the public vocabulary file at ``path`` (see ``functions.bpe``)."""
+    return bpe.bpe_encoder(path, PIECES)
 
 
 def yes_no(c: Column) -> Column:
