@@ -1,4 +1,5 @@
 import json
+import time
 
 import numpy as np
 import pytest
@@ -37,6 +38,29 @@ def test_index_then_search(spark):
     assert store.set_column(videos, stats.select("id", F.col("stats_json").alias("value")), "stats_json").first().stats_json
 
 
+def test_timings_and_progress(spark, tmp_path):
+    timings = indexing.Timings()
+    for _ in range(2):
+        with timings.stage("detect_s"):
+            pass
+    timings.seconds["embed_s"] = 1.239
+    assert set(timings.seconds) == {"detect_s", "embed_s"} and timings.rounded()["embed_s"] == 1.24
+    items, gated = indexing.index_frames(frames(spark), HashEncoder(16), motion={"min_fraction": 0.5})
+    assert json.loads(indexing.run_stats(items, gated, sample_fps=2.0, method="score", timings=timings).first().stats_json)["timings_s"]["embed_s"] == 1.24
+    seen = []
+    listener = indexing.Progress(lambda share, what: seen.append((share, what)), 10)
+    spark.streams.addListener(listener)
+    spark.range(8).write.parquet(str(tmp_path / "in"))
+    q = spark.readStream.schema("id long").parquet(str(tmp_path / "in")).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    for _ in range(100):
+        if seen and seen[-1][1] == "done":
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(listener)
+    assert seen[0] == (0.0, "started") and seen[-1] == (1.0, "done") and any(share == 0.8 for share, _ in seen) and "triggerExecution" in listener.timings.seconds
+
+
 def test_command_line(spark, tmp_path):
     items, _ = indexing.index_frames(frames(spark), HashEncoder(512))
     items.write.parquet(str(tmp_path / "items.parquet"))
