@@ -32,7 +32,8 @@ def score(df: DataFrame, vec_col: str, queries: np.ndarray, *, metric: str = "do
     """``df`` without its vector but with ``out``: the score of each row for each of the query vectors (``array<double>``).
 
     ``metric="dot"`` normalises the queries only (stored rows are taken as unit vectors), ``"cosine"`` both sides. Rows whose
-    vector is null or has another length than the queries get null. One matrix product per Arrow batch.
+    vector is null, has another length than the queries or an element that is null or not finite get null; a vector of zeros
+    scores 0. One matrix product per Arrow batch.
     """
     q = np.atleast_2d(np.asarray(queries, np.float64))
     q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
@@ -47,6 +48,9 @@ def score(df: DataFrame, vec_col: str, queries: np.ndarray, *, metric: str = "do
             lengths = np.diff(v.offsets.to_numpy())
             fits = np.nonzero((lengths == dim) & v.is_valid().to_numpy(zero_copy_only=False))[0]
             m = v.values.to_numpy(zero_copy_only=False)[v.offsets.to_numpy()[fits][:, None] + np.arange(dim)].astype(np.float64) if len(fits) else np.zeros((0, dim))
+            finite = np.isfinite(m).all(1)
+            if not finite.all():
+                fits, m = fits[finite], m[finite]
             if metric == "cosine":
                 m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
             s = m @ q.T

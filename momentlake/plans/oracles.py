@@ -39,6 +39,21 @@ def _search(where: str) -> str:
         FROM merged ORDER BY score DESC, item_id LIMIT 10"""
 
 
+FINITE = "len(emb) = 512 AND len(list_filter(emb, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+ITEM_CODES = f"""
+    u AS (SELECT DISTINCT id, nullif(lower(trim(video_id)), '') AS video_id, round(t, 3) AS t, kind, frame_idx, emb::DOUBLE[] AS e, sqrt(list_dot_product(emb::DOUBLE[], emb::DOUBLE[])) AS n FROM items WHERE id IS NOT NULL AND {FINITE}
+    ), asked AS (SELECT id, any_value(e) AS e, any_value(n) AS n FROM u WHERE n > 0 GROUP BY id)"""
+
+
+def _item_search(n: int) -> str:
+    """The first ``n`` items' vectors against all items; the queries' hits are kept apart by a video name that begins with the query."""
+    return f"""WITH RECURSIVE {ITEM_CODES}, q AS (SELECT row_number() OVER (ORDER BY id) - 1 AS query, e, n FROM asked ORDER BY id LIMIT {n}
+        ), s AS (SELECT query || ':' || u.video_id AS video_id, u.id AS item_id, u.t, CASE WHEN u.n = 0 THEN 0 ELSE round(list_dot_product(u.e, q.e) / (u.n * q.n), 6) END AS score FROM u, q WHERE u.video_id IS NOT NULL AND u.t IS NOT NULL
+        ), {_best()}, {_merge(3.0)}, ranked_hits AS (
+            SELECT *, split_part(video_id, ':', 1)::INT AS query, substr(video_id, strpos(video_id, ':') + 1) AS video, row_number() OVER (PARTITION BY split_part(video_id, ':', 1) ORDER BY score DESC, item_id)::INT AS rank FROM merged
+        ), facts AS (SELECT id, any_value(kind) AS kind, any_value(frame_idx) AS frame_idx FROM u GROUP BY id)"""
+
+
 EVENTS = "e AS (SELECT event_id, user_id::VARCHAR AS video_id, epoch_us(ts) / 1e6 AS t, event_type, value FROM events)"
 TRUTH = EVENTS + """, truth AS (
     SELECT video_id AS query_id, min(t) + (video_id::BIGINT % 25) * 86400 AS lo, min(t) + (video_id::BIGINT % 25) * 86400 + 21600 AS hi FROM e GROUP BY video_id
@@ -164,6 +179,8 @@ SQL = {
     "content_ids": "SELECT doc_id, CASE WHEN source IS NOT NULL THEN sha1(source || octet_length(encode(text))::VARCHAR || text)[1:12] END AS video_id FROM documents WHERE text IS NOT NULL",
     "hit_captions": f"""SELECT id, nullif(lower(trim(video_id)), '') || ' @ ' || {_code('greatest(0.0, t)')} || ' · ' || printf('%.3f', conf) || ' · ' || coalesce(label, kind) AS caption
         FROM (SELECT DISTINCT id, video_id, t, kind, label, conf FROM items WHERE t IS NOT NULL AND conf IS NOT NULL)""",
+    "hit_captions_all": f"""SELECT id, nullif(lower(trim(video_id)), '') || ' @ ' || {_code('greatest(0.0, t)')} || ' · ' || printf('%.3f', conf) || ' · ' || coalesce(label, kind) AS caption
+        FROM (SELECT DISTINCT id, video_id, t, kind, label, coalesce(conf, 1.0::DOUBLE) AS conf FROM items WHERE t IS NOT NULL)""",
     "class_nms": f"""WITH RECURSIVE b AS ({_boxes()}), r AS (SELECT *, row_number() OVER (PARTITION BY frame, cls ORDER BY conf DESC, pos) AS k, {{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} AS box FROM b
         ), w AS (
             SELECT frame, cls, k, pos, true AS stays, [box] AS held FROM r WHERE k = 1
@@ -231,6 +248,13 @@ SQL = {
         UNION ALL SELECT 1000000 + row_number() OVER (ORDER BY video_id, frame_idx, kind <> 'frame', conf DESC), video_id, t, kind, conf, frame_idx FROM n""",
     "audit_tail": """SELECT seq, time, os_user, query, coalesce(array_to_string(videos, ', '), '') AS videos, n_results::DOUBLE AS n_results, CASE WHEN verify THEN 'yes' ELSE 'no' END AS verify
         FROM (SELECT DISTINCT seq, time, os_user, query, videos, n_results, verify FROM audit_log) ORDER BY seq DESC LIMIT 100""",
+    "item_search": _item_search(1) + """ SELECT item_id, video AS video_id, t, score, t_start, t_end, merged, kind, frame_idx FROM ranked_hits JOIN facts ON facts.id = item_id WHERE rank <= 10""",
+    "item_search_batch": _item_search(16) + """ SELECT query, rank, item_id, video AS video_id, t, score, t_start, t_end, merged FROM ranked_hits WHERE rank <= 10""",
+    "audit_appends": """SELECT time, os_user, query, array_to_string(videos, ',') AS videos, n_results::DOUBLE AS n_results, verify
+        FROM (SELECT DISTINCT seq, time, os_user, query, videos, n_results, verify FROM audit_log WHERE seq IS NOT NULL) ORDER BY seq DESC LIMIT 500""",
+    "video_by_id": f"""WITH {VIDEOS} SELECT id, name, round(duration, 3) AS duration FROM latest WHERE id IN (SELECT lower(trim(video_id)) FROM hits)""",
+    "answer_fallback": "SELECT event_id, coalesce(CASE WHEN event_id % 3 = 0 THEN round(value / 1000, 6) END, CASE WHEN event_id % 4 = 0 THEN 1.0 WHEN event_id % 4 = 1 THEN 0.0 END)::DOUBLE AS p_yes FROM events",
+    "compute_units": """SELECT CASE WHEN event_id % 5 <> 0 THEN event_type ELSE '?' END AS compute_unit, count(*) AS layers, round(sum(trunc(value * 1000)::BIGINT)::DOUBLE / 1000, 3) AS ms, round(sum(user_id * 4096)::DOUBLE / 1048576, 3) AS mib FROM events GROUP BY 1""",
     "audit_video_names": """SELECT lower(trim(id)) AS video_id, min(name) AS name FROM videos
         WHERE lower(trim(id)) IN (SELECT lower(trim(v)) FROM (SELECT unnest(videos) AS v FROM audit_log) WHERE trim(v) <> '') GROUP BY 1""",
 }

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -9,7 +12,9 @@ from pyspark.sql import functions as F
 from momentlake.functions import text, vectors
 from momentlake.functions.keys import compared, epoch_of
 from momentlake.operators import boxes, gate, metrics, ranking
+from momentlake.plans import report
 from momentlake.plans.engine import Engine
+from momentlake.session import shared_folder
 from momentlake.sources import audit, store, tables
 
 QUERIES: dict = {}
@@ -135,6 +140,43 @@ def video_filter_search(spark, d):
     return Engine(_moments(spark, d)).search(_vector(spark, d), top_k=10, video_ids=["1", "4", "7"])
 
 
+def _item_engine(spark: SparkSession, d: str) -> Engine:
+    """The items that name a video; vectors are as delivered, so they are scored by the true cosine. Repeated rows score alike and count once."""
+    items = _t(spark, d, "items").select("id", compared("video_id").alias("video_id"), "t", "kind", "frame_idx", "emb")
+    return Engine(items, config={"index": {"metric": "cosine"}})
+
+
+def _item_vectors(spark: SparkSession, d: str, n: int) -> np.ndarray:
+    """The vectors of the first ``n`` items with a usable one, by id (the search's questions)."""
+    items, found, last = _t(spark, d, "items").select("id", "emb"), {}, -1
+    while len(found) < n:
+        rows = items.where(F.col("id") > last).orderBy("id").limit(4 * n).collect()
+        for r in rows:
+            v = np.array(r.emb if r.emb is not None and None not in r.emb else [], np.float64)
+            if len(v) == 512 and np.isfinite(v).all() and v.any() and len(found) < n:
+                found.setdefault(r.id, v)
+        if len(rows) < 4 * n:
+            break
+        last = rows[-1].id
+    return np.array([found[i] for i in sorted(found)]).reshape(-1, 512)
+
+
+@query
+def item_search(spark, d):
+    """Search over all items with the vector of the first one."""
+    q = _item_vectors(spark, d, 1)
+    hits = _item_engine(spark, d).search(q[0].tolist() if len(q) else [1.0] * 512, top_k=10)
+    return hits.select("item_id", "video_id", "t", "score", "t_start", "t_end", "merged", "kind", "frame_idx")
+
+
+@query
+def item_search_batch(spark, d):
+    """Sixteen searches over all items in one job."""
+    q = _item_vectors(spark, d, 16)
+    hits = _item_engine(spark, d).search_many(q if len(q) else np.ones((1, 512)), top_k=10)
+    return hits.select("query", "rank", "item_id", "video_id", "t", "score", "t_start", "t_end", "merged")
+
+
 @query
 def rerank_blend(spark, d):
     hits = ranking.merge_hits(ranking.best_per_timestamp(_scored(spark, d)), 3.0, 50)
@@ -314,9 +356,7 @@ def token_pad_full(spark, d):
 
 @query
 def bpe_tokens(spark, d):
-    import public_tokenizers
-
-    encode = text.bpe_encoder(public_tokenizers.path("word_bpe_49k.json"))
+    encode = text.bpe_encoder(os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), "word_bpe_49k.json"))
     return _t(spark, d, "eval_queries").select("id", text.fit_tokens(encode(text.clean(F.col("query"))), 49406, 49407).alias("tokens"))
 
 
@@ -362,6 +402,13 @@ def hit_captions(spark, d):
     return items.select("id", text.hit_caption(F.col("label"), F.col("kind"), F.col("conf"), F.col("t"), compared("video_id")).alias("caption"))
 
 
+@query
+def hit_captions_all(spark, d):
+    """Captions of frames and crops alike; a frame has no confidence and is shown with 1."""
+    items = _t(spark, d, "items").where("t is not null").select("id", "video_id", "t", "kind", "label", F.coalesce("conf", F.lit(1.0)).alias("conf")).distinct()
+    return items.select("id", text.hit_caption(F.col("label"), F.col("kind"), F.col("conf"), F.col("t"), compared("video_id")).alias("caption"))
+
+
 # --- boxes
 
 
@@ -533,6 +580,42 @@ def audit_tail(spark, d):
     return audit.audit_tail(_t(spark, d, "audit_log").select("seq", "time", "os_user", "query", "videos", "n_results", "verify").distinct(), 100).withColumn("n_results", F.col("n_results").cast("double"))
 
 
+@query
+def audit_appends(spark, d):
+    """The last 500 lines of a log written in three appends of unequal size."""
+    log = _t(spark, d, "audit_log").select("seq", "time", "os_user", "query", "videos", "n_results", "verify").distinct()
+    path = f"{shared_folder(spark)}/audit-{uuid.uuid4().hex}"
+    most = log.agg(F.max("seq")).first()[0] or 0
+    cuts = [-1, most // 7, most - most // 9, most]
+    for low, high in zip(cuts[:-1], cuts[1:]):
+        audit.write_audit(log.where((F.col("seq") > low) & (F.col("seq") <= high)).orderBy("seq").drop("seq"), path)
+    last = audit.read_audit(spark, path, 500)
+    return last.select("time", "os_user", "query", F.array_join("videos", ",").alias("videos"), F.col("n_results").cast("double").alias("n_results"), "verify")
+
+
+@query
+def video_by_id(spark, d):
+    """One row of the video table, by id, for every id that some hit names."""
+    named = _t(spark, d, "hits").select(compared("video_id").alias("id")).where("id is not null").distinct()
+    return tables.video(_videos(spark, d), named).select("id", "name", F.round("duration", 3).alias("duration"))
+
+
+@query
+def answer_fallback(spark, d):
+    """The probability of yes from the answer where the token probabilities give none."""
+    e = _t(spark, d, "events")
+    p = F.when(F.col("event_id") % 3 == 0, F.round(F.col("value") / 1000, 6))
+    answer = F.when(F.col("event_id") % 4 == 0, "yes").when(F.col("event_id") % 4 == 1, "no")
+    return e.select("event_id", text.p_yes_or_answer(p, answer).alias("p_yes"))
+
+
+@query
+def compute_units(spark, d):
+    """Profile rows by compute unit: number, milliseconds and megabytes."""
+    e = _t(spark, d, "events").select(F.when(F.col("event_id") % 5 != 0, F.col("event_type")).alias("compute_unit"), (F.col("value") * 1000).cast("long").alias("us"), (F.col("user_id") * 4096).cast("long").alias("bytes"))
+    return report.unit_summary(e)
+
+
 @query
 def audit_video_names(spark, d):
     videos = _t(spark, d, "videos").select(compared("id").alias("video_id"), "name").groupBy("video_id").agg(F.min("name").alias("name"))

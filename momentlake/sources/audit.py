@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +36,8 @@ def read_audit(spark: SparkSession, path: str, last: int | None = None) -> DataF
     Lines are in order of append (files not written by ``write_audit``: of their modification), file name and place in the
     file. The last lines are found without sorting the log.
     """
-    if "://" not in path and not os.path.exists(path):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
         return spark.createDataFrame([], "line long, time string, os_user string, query string, videos array<string>, n_results int, verify boolean")
     raw = spark.read.text(path)
     appended = F.col(APPENDED).cast("long") if APPENDED in raw.columns else F.unix_micros("_metadata.file_modification_time")

@@ -23,8 +23,10 @@ def video_listing(videos: DataFrame) -> DataFrame:
     return videos.withColumn("stats", F.from_json("stats_json", schema.STATS)).drop("stats_json").orderBy(F.desc("indexed_at"), "id")
 
 
-def video(videos: DataFrame, video_id: str) -> DataFrame:
-    """The video with the id; no row if there is none."""
+def video(videos: DataFrame, video_id: str | DataFrame) -> DataFrame:
+    """The video with the id, or those with the ids of a one-column table; no row where there is none."""
+    if isinstance(video_id, DataFrame):
+        return video_listing(videos.join(video_id.select(F.col(video_id.columns[0]).alias("id")), "id", "left_semi"))
     return video_listing(videos.where(F.col("id") == video_id)).limit(1)
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from momentlake.functions import numbers, text
+from momentlake.functions import bpe, numbers, text
 from momentlake.operators import boxes, metrics
 from momentlake.plans import queries
 
@@ -158,3 +158,56 @@ def test_agreement_of_whole_sides(spark):
         pytest.skip("needs the driver's tables")
     r = queries.QUERIES["detection_agreement_whole"](spark, d).first()
     assert r.na == r.nb > 0 and 0 < r.tp < r.na
+
+
+def merged_by_rule(model, piece):
+    """Merges the best pair everywhere, round by round."""
+    parts = [model.letters[b] for b in piece.encode()]
+    parts[-1] += "</w>"
+    while True:
+        pairs = [model.rank.get(p, 1 << 30) for p in zip(parts, parts[1:])]
+        if not pairs or min(pairs) == 1 << 30:
+            return parts
+        best, out = min(pairs), []
+        for x in parts:
+            if out and out[-1] is not None and model.rank.get((out[-1], x)) == best:
+                out[-1:] = [out[-1] + x, None]
+            else:
+                out.append(x)
+        parts = [x for x in out if x is not None]
+
+
+def test_byte_pairs():
+    rng = random.Random(4)
+    letters = "abc"
+    merges = [("a", "b"), ("ab", "c</w>"), ("b", "b"), ("a", "a"), ("aa", "bb"), ("c", "ab"), ("aa", "aa"), ("b</w>", "x"), ("bb", "b</w>")]
+    model = bpe.WordBpe({}, merges)
+    for _ in range(400):
+        piece = "".join(rng.choices(letters, k=rng.randrange(1, 14)))
+        assert model.symbols(piece) == merged_by_rule(model, piece), piece
+    assert model.symbols("") == [] and len(set(bpe.byte_letters())) == 256 and all(x.isprintable() and not x.isspace() for x in bpe.byte_letters())
+    whole = bpe.WordBpe({"a</w>": 5, "ab": 6, "c</w>": 7}, merges[:1])
+    assert whole.ids("abc") == [6, 7] and whole.ids("a") == [5] and whole.ids("abc") == [6, 7]
+
+
+def test_byte_pairs_of_a_public_file(spark):
+    path = "/opt/tokenizers/word_bpe_49k.json"
+    tokenizers = pytest.importorskip("tokenizers")
+    if not os.path.exists(path):
+        pytest.skip("needs the public vocabulary file")
+    library = tokenizers.Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    texts = ["a red bag by the gate", "don't stop 123 naïveté", "कैमरा ΩΩ!?!? 🙂", "x" * 3000, "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.ids for r in df.select("i", text.bpe_encoder(path)(text.clean(F.col("t"))).alias("ids")).collect()}
+    assert all(got[i] == (None if t is None else library.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts))
+
+
+def test_broken_encodings(spark):
+    for meant in ("Für die Übergabe", "el niño está aquí", "naïve – “quoted”", "plain", "Ärger über Öl", "कैमरा"):
+        broken = meant.encode("utf-8").decode("cp1252", "ignore")
+        assert text.mended(meant) == meant
+        if broken.encode("cp1252") == meant.encode("utf-8"):
+            assert text.mended(broken) == meant
+    df = spark.createDataFrame([("FÃ¼r &amp;uuml;ber",), (None,)], "t string")
+    assert [r.c for r in df.select(text.clean(F.col("t"), mend=True).alias("c")).collect()] == ["für über", None]
