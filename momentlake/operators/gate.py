@@ -30,7 +30,7 @@ def step_sample(df: DataFrame, by: str, n: int, total: int) -> DataFrame:
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """``n`` rows chosen by a hash of their key, in order of the key; the same ones on every run."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key)).limit(n).orderBy(key)
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), F.col(key)).limit(n).orderBy(key)
 
 
 class Mixture:

@@ -54,6 +54,13 @@ def _item_search(n: int) -> str:
         ), facts AS (SELECT id, any_value(kind) AS kind, any_value(frame_idx) AS frame_idx FROM u GROUP BY id)"""
 
 
+def decoded(text: str) -> str:
+    """SQL: character references resolved, once."""
+    named = "MAP {'&amp;': '&', '&lt;': '<', '&gt;': '>', '&quot;': chr(34), '&apos;': chr(39), '&nbsp;': chr(160), '&shy;': chr(173), '&ndash;': chr(8211), '&mdash;': chr(8212), '&hellip;': chr(8230)}"
+    number = "chr(CASE WHEN lower(x[3]) = 'x' THEN try_cast('0x' || x[4:-2] AS INT) ELSE try_cast(x[3:-2] AS INT) END)"
+    return f"array_to_string(list_transform(regexp_extract_all({text}, '&#?[0-9A-Za-z]+;|[^&]+|&'), lambda x: CASE WHEN x LIKE '&#%;' THEN coalesce({number}, x) ELSE coalesce(({named})[x], x) END), '')"
+
+
 EVENTS = "e AS (SELECT event_id, user_id::VARCHAR AS video_id, epoch_us(ts) / 1e6 AS t, event_type, value FROM events)"
 TRUTH = EVENTS + """, truth AS (
     SELECT video_id AS query_id, min(t) + (video_id::BIGINT % 25) * 86400 AS lo, min(t) + (video_id::BIGINT % 25) * 86400 + 21600 AS hi FROM e GROUP BY video_id
@@ -248,6 +255,8 @@ SQL = {
         UNION ALL SELECT 1000000 + row_number() OVER (ORDER BY video_id, frame_idx, kind <> 'frame', conf DESC), video_id, t, kind, conf, frame_idx FROM n""",
     "audit_tail": """SELECT seq, time, os_user, query, coalesce(array_to_string(videos, ', '), '') AS videos, n_results::DOUBLE AS n_results, CASE WHEN verify THEN 'yes' ELSE 'no' END AS verify
         FROM (SELECT DISTINCT seq, time, os_user, query, videos, n_results, verify FROM audit_log) ORDER BY seq DESC LIMIT 100""",
+    "text_clean_entities": f"SELECT doc_id, {CLEAN.format(c=decoded(decoded('text')))} AS cleaned FROM documents",
+    "seeded_sampling": "SELECT event_id, event_type FROM (SELECT event_id, event_type FROM events ORDER BY md5('7:' || event_id), event_id LIMIT 50)",
     "item_search": _item_search(1) + """ SELECT item_id, video AS video_id, t, score, t_start, t_end, merged, kind, frame_idx FROM ranked_hits JOIN facts ON facts.id = item_id WHERE rank <= 10""",
     "item_search_batch": _item_search(16) + """ SELECT query, rank, item_id, video AS video_id, t, score, t_start, t_end, merged FROM ranked_hits WHERE rank <= 10""",
     "audit_appends": """SELECT time, os_user, query, array_to_string(videos, ',') AS videos, n_results::DOUBLE AS n_results, verify
