@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import os
+import platform
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from momentlake.functions import text
@@ -33,3 +36,21 @@ def hit_json(hits: DataFrame) -> DataFrame:
 def unit_summary(layers: DataFrame, unit: str = "compute_unit") -> DataFrame:
     """Per compute unit (``?`` if unknown): layers, milliseconds and mebibytes, from ``us`` and ``bytes``."""
     return layers.groupBy(F.coalesce(unit, F.lit("?")).alias(unit)).agg(F.count("*").alias("layers"), F.round(F.sum("us") / 1000, 3).alias("ms"), F.round(F.sum("bytes") / (1 << 20), 3).alias("mib"))
+
+
+def machine(spark: SparkSession) -> dict[str, str]:
+    """What figures were measured on: processor, cores, system and versions of the driver's machine, the cluster's master and its slots."""
+    model = platform.processor() or "unknown"
+    if os.path.exists("/proc/cpuinfo"):
+        with open("/proc/cpuinfo", encoding="utf-8", errors="replace") as f:
+            model = next((line.partition(":")[2].strip() for line in f if line.startswith("model name")), model)
+    context = spark.sparkContext
+    return {
+        "processor": model, "cores": str(os.cpu_count()), "system": f"{platform.system()} {platform.release()} ({platform.machine()})", "python": platform.python_version(),
+        "spark": spark.version, "master": context.master, "slots": str(context.defaultParallelism),
+    }
+
+
+def machine_label(facts: dict[str, str]) -> str:
+    """``machine`` on one line."""
+    return "{processor}, {cores} cores, {system}, Spark {spark} on {master} with {slots} slots".format(**facts)

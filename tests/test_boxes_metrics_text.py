@@ -1,3 +1,4 @@
+import base64
 import html
 import json
 import math
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from momentlake.functions import bpe, numbers, text
+from momentlake.functions import bpe, numbers, requests, text
 from momentlake.operators import boxes, metrics
 from momentlake.plans import queries
 
@@ -211,3 +212,15 @@ def test_broken_encodings(spark):
             assert text.mended(broken) == meant
     df = spark.createDataFrame([("FÃ¼r &amp;uuml;ber",), (None,)], "t string")
     assert [r.c for r in df.select(text.clean(F.col("t"), mend=True).alias("c")).collect()] == ["für über", None]
+
+
+def test_verifier_request(spark):
+    df = spark.createDataFrame([(bytes(range(256)) * 3, 'a "red" bag', 1920, 1080), (b"", "x", 300, 200)], "jpeg binary, q string, w int, h int")
+    rows = df.select(requests.chat_request(F.col("jpeg"), F.col("q"), "small").alias("body"), requests.payload_size(F.col("w"), F.col("h")).alias("s")).collect()
+    body = json.loads(rows[0].body)
+    picture, asked = body["messages"][0]["content"]
+    kind, _, data = picture["image_url"]["url"].partition(",")
+    assert kind == "data:image/jpeg;base64" and base64.b64decode(data, validate=True) == bytes(range(256)) * 3
+    assert asked == {"type": "text", "text": requests.PROMPT.format(query='a "red" bag')} and "text" not in picture
+    assert (body["model"], body["temperature"], body["max_tokens"], body["logprobs"], body["top_logprobs"]) == ("small", 0, 3, True, 5)
+    assert [tuple(r.s) for r in rows] == [(768, 432), (300, 200)]

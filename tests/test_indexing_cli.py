@@ -78,6 +78,8 @@ def test_report(spark):
     assert report.markdown(df) == "| name | x | n |\n|-|-|-|\n| a | 0.123 | 3 |\n| - | 1.50 | - |"
     with pytest.raises(ValueError):
         report.markdown(spark.range(5), 3)
+    facts = report.machine(spark)
+    assert facts["slots"] == "4" and facts["spark"] == spark.version and all(facts.values()) and facts["processor"] in report.machine_label(facts)
     units = spark.createDataFrame([("cpu", 1500, 1 << 20), (None, 500, 1 << 19)], "compute_unit string, us long, bytes long")
     assert {tuple(r) for r in report.unit_summary(units).collect()} == {("cpu", 1, 1.5, 1.0), ("?", 1, 0.5, 0.5)}
 
