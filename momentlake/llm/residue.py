@@ -29,7 +29,10 @@ BITS = 18
 TABLE = 1 << BITS
 #: Passages with a placeholder are slots (residue) or explain it; the others are messages or fillers (residue) or notes.
 CLASSES = ("slot", "explained", "message", "note")
-FEATURE_SCHEMA = "doc_id long, features array<int>, lengths array<int>, role array<tinyint>, placeholder array<tinyint>, trusted array<boolean>"
+#: A row holds the passages of up to ``BLOCK`` records as plain arrays: what Spark carries between rounds is bytes, not elements.
+BLOCK = 512
+PARTS = {"docs": "<i8", "passages": "<i4", "low": "<u2", "high": "u1", "lengths": "<i4", "role": "i1", "placeholder": "i1", "trusted": "?"}
+FEATURE_SCHEMA = ", ".join(f"{c} binary" for c in PARTS)
 
 # Notations in which templates mark a place for a value, each with texts of which one must occur; the strict ones hardly occur in notes otherwise.
 STRICT_STYLES = {
@@ -184,8 +187,8 @@ def features(tokens: list[list[str]], styles: list[list[str]]) -> tuple[np.ndarr
 
 def _featured(batches):
     for b in batches:
-        for at in range(0, b.num_rows, 512):
-            yield _featured_part(b.slice(at, 512))
+        for at in range(0, b.num_rows, BLOCK):
+            yield _featured_part(b.slice(at, BLOCK))
 
 
 def _featured_part(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -210,22 +213,21 @@ def _featured_part(b: pa.RecordBatch) -> pa.RecordBatch:
             tokens.append(w)
             marks.append(styles)
     f, sizes = features(tokens, marks)
-    cuts = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-    offsets = pa.array(cuts, pa.int32())
-    lists = lambda values, kind: pa.ListArray.from_arrays(offsets, pa.array(values, kind))
-    per_doc = pa.array(np.concatenate([[0], np.cumsum(sizes)])[cuts], pa.int32())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(docs, pa.int64()), pa.ListArray.from_arrays(per_doc, pa.array(f)), lists(sizes, pa.int32()), lists(roles, pa.int8()), lists(placeholders, pa.int8()), lists(trusted, pa.bool_())],
-        ["doc_id", "features", "lengths", "role", "placeholder", "trusted"],
-    )
+    parts = {"docs": docs, "passages": counts, "low": f & 0xFFFF, "high": f >> 16, "lengths": sizes, "role": roles, "placeholder": placeholders, "trusted": trusted}
+    return pa.RecordBatch.from_arrays([pa.array([np.asarray(parts[c]).astype(kind).tobytes()], pa.binary()) for c, kind in PARTS.items()], list(PARTS))
 
 
-def _flat(b: pa.RecordBatch):
-    """Of a batch: feature ids, passage number of each, passage arrays, record number of each passage."""
-    f, lengths = b.column(1).flatten().to_numpy(zero_copy_only=False), b.column(2).flatten().to_numpy(zero_copy_only=False)
-    roles, ph, trusted = (b.column(i).flatten().to_numpy(zero_copy_only=False) for i in (3, 4, 5))
-    record = np.repeat(np.arange(b.num_rows), np.diff(b.column(2).offsets.to_numpy()))
-    return f, np.repeat(np.arange(len(lengths)), lengths), roles, ph, trusted.astype(bool), record
+def _flat(block: dict[str, np.ndarray]):
+    """Of a block: feature ids, passage number of each, passage arrays, record number of each passage."""
+    f = block["low"].astype(np.int64) | block["high"].astype(np.int64) << 16
+    record = np.repeat(np.arange(len(block["docs"])), block["passages"])
+    return f, np.repeat(np.arange(len(block["lengths"])), block["lengths"]), block["role"], block["placeholder"], block["trusted"], record
+
+
+def blocks(b: pa.RecordBatch):
+    """The blocks of a batch of rows."""
+    for row in zip(*b.columns):
+        yield {c: np.frombuffer(v.as_buffer(), kind) for (c, kind), v in zip(PARTS.items(), row)}
 
 
 def _weights(counts: pa.Table, strength: float) -> tuple[np.ndarray, np.ndarray]:
@@ -248,35 +250,35 @@ def _weights(counts: pa.Table, strength: float) -> tuple[np.ndarray, np.ndarray]
     return odds.astype(np.float32), np.log(np.array([sizes[0] / sizes[1], sizes[2] / sizes[3]]))
 
 
-def _odds(b: pa.RecordBatch, model) -> tuple[np.ndarray, ...]:
-    """Log-odds of a batch's passages to be residue (with a placeholder: a slot, else: a message), and what ``_flat`` gives."""
-    f, owner, role, ph, trusted, record = _flat(b)
+def _odds(block: dict[str, np.ndarray], model) -> tuple[np.ndarray, ...]:
+    """Log-odds of a block's passages to be residue (with a placeholder: a slot, else: a message), and what ``_flat`` gives."""
+    f, owner, role, ph, trusted, record = _flat(block)
     weight, prior = model
     slot, message = (prior[i] + np.bincount(owner, weight[i][f], len(role)) for i in (0, 1))
     return np.where(ph > 0, slot, message), f, owner, role, ph, trusted, record
 
 
-def weigh(b: pa.RecordBatch, model) -> tuple[np.ndarray, np.ndarray]:
-    """Of a batch, per class the summed posteriors by feature and altogether; without a model yet, the trusted passages against all others."""
+def weigh(block: dict[str, np.ndarray], model) -> tuple[np.ndarray, np.ndarray]:
+    """Of a block, per class the summed posteriors by feature and altogether; without a model yet, the trusted passages against all others."""
     if model is None:
-        f, owner, _, ph, trusted, _ = _flat(b)
+        f, owner, _, ph, trusted, _ = _flat(block)
         bad = np.where(ph == 2, 0.5, 0.0)  # an unmistakable notation, but the only one of its record
     else:
-        odds, f, owner, _, ph, trusted, _ = _odds(b, model)
+        odds, f, owner, _, ph, trusted, _ = _odds(block, model)
         bad = 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
     bad[trusted], ph = 1, ph > 0
     w = np.stack([bad * ph, (1 - bad) * ph, bad * ~ph, (1 - bad) * ~ph])
     return np.stack([np.bincount(f, x[owner], TABLE) for x in w]), w.sum(1)
 
 
-def decided(b: pa.RecordBatch, model) -> pa.RecordBatch:
-    """The records of a batch that are residue by the model's odds."""
-    odds, _, _, role, ph, _, record = _odds(b, model)
-    residue, content, n = odds > 0, role == CONTENT, b.num_rows
+def decided(block: dict[str, np.ndarray], model) -> pa.RecordBatch:
+    """The records of a block that are residue by the model's odds."""
+    odds, _, _, role, ph, _, record = _odds(block, model)
+    residue, content, n = odds > 0, role == CONTENT, len(block["docs"])
     total, bad = np.bincount(record[content], minlength=n), np.bincount(record[content & residue], minlength=n)
     slot = np.bincount(record[(ph > 0) & residue], minlength=n) > 0
     hit = np.nonzero(slot | (bad == total))[0]
-    return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(hit)), pa.array(total[hit], pa.int32()), pa.array(bad[hit], pa.int32()), pa.array(slot[hit])], ["doc_id", "n_passages", "n_residue", "placeholder"])
+    return pa.RecordBatch.from_arrays([pa.array(block["docs"][hit]), pa.array(total[hit], pa.int32()), pa.array(bad[hit], pa.int32()), pa.array(slot[hit])], ["doc_id", "n_passages", "n_residue", "placeholder"])
 
 
 def residue_documents(df: DataFrame, id_col: str, text_col: str, *, rounds: int = 4, strength: float = 2.0) -> DataFrame:
@@ -294,8 +296,8 @@ def residue_documents(df: DataFrame, id_col: str, text_col: str, *, rounds: int
 
         def count(batches, shared=shared):
             sums, total = np.zeros((4, TABLE)), np.zeros(4)
-            for b in batches:
-                part, whole = weigh(b, shared.value)
+            for block in (x for b in batches for x in blocks(b)):
+                part, whole = weigh(block, shared.value)
                 sums += part
                 total += whole
             used = np.nonzero(sums.sum(0) > 0)[0]
@@ -307,4 +309,4 @@ def residue_documents(df: DataFrame, id_col: str, text_col: str, *, rounds: int
             return spark.createDataFrame([], "doc_id long, n_passages int, n_residue int, placeholder boolean")
         model = _weights(counts, strength)
     last = spark.sparkContext.broadcast(model)
-    return docs.mapInArrow(lambda batches: (decided(b, last.value) for b in batches), "doc_id long, n_passages int, n_residue int, placeholder boolean")
+    return docs.mapInArrow(lambda batches: (decided(block, last.value) for b in batches for block in blocks(b)), "doc_id long, n_passages int, n_residue int, placeholder boolean")
